@@ -54,8 +54,8 @@ def date_stages(spec, seed):
     dated = date.rlike(DATE_PATTERN)
     year, rest = F.substring(date, 1, 4), F.substring(date, 5, 100)
     swapped = F.concat(F.substring(date, 1, 2), F.substring(date, 4, 1), F.substring(date, 3, 1))
-    default = F.element_at(F.array(*[F.lit(s) for s in SENTINELS]),
-                           (hash60("sentinel", seed, F.col(RID)) % len(SENTINELS) + 1).cast("int"))
+    default = F.get(F.array(*[F.lit(s) for s in SENTINELS]),
+                    (hash60("sentinel", seed, F.col(RID)) % len(SENTINELS)).cast("int"))
     plus = spec.typo_years // 2
     return [
         Stage("sentinel_dates", "invalid_date", "sentinel", spec.sentinel_dates, dated,
@@ -153,7 +153,7 @@ def changed(df, plan, copies):
 
 
 def of_plan(plan, attribute):
-    return F.element_at(F.array(*[F.lit(getattr(s, attribute)) for s in plan]), F.col("_stage") + 1)
+    return F.get(F.array(*[F.lit(getattr(s, attribute)) for s in plan]), F.col("_stage"))
 
 
 def plant(df, seed, spec=None) -> Planted:

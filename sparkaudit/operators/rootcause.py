@@ -2,12 +2,12 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import parse_date
-from ..schema import COMPARED, LEGACY_HOME_KEY, LEGACY_PROPERTY_KEY, LISTING_KEY
+from ..schema import COMPARED, LEGACY_HOME_KEY, LEGACY_PROPERTY_KEY, LISTING_KEY, STATUSES
 from ..session import materialise
 from .duplicates import duplicates
 from .legacy import (placeholder_date, price_manipulation, price_manipulation_groups, same_price_different_dates,
                      same_price_groups)
-from .scale import attach, group_quantiles, running_totals, value_counts
+from .scale import attach, beside, group_quantiles, running_totals, value_counts
 
 PAIR = "for_sale + sold"
 DAY = "prev_sold_date"
@@ -22,8 +22,7 @@ def headline_share(df):
     groups = same_price_groups(df).agg(F.count(F.lit(1)).alias("same_price_groups"),
                                        F.coalesce(F.sum("records"), F.lit(0)).alias("same_price_records"))
     manipulated = price_manipulation_groups(df).agg(F.count(F.lit(1)).alias("manipulation_groups"))
-    # three one-row aggregates side by side
-    return records.join(F.broadcast(groups)).join(F.broadcast(manipulated)).withColumn(
+    return beside(records, groups, manipulated).withColumn(
         "share", (F.col("placeholder_records") + F.col("same_price_records")) / F.col("records"))
 
 
@@ -99,11 +98,11 @@ def lifecycle_pairs(df):
     def share(condition):
         return F.avg(condition.cast("double"))
 
-    summary = pairs.join(F.broadcast(window)).agg(      # one row
+    summary = beside(pairs, window).agg(
         F.count(F.lit(1)).alias("pairs"),
         share(F.col("sold").between(F.col("first_sale"), F.col("last_sale"))).alias("sold_in_window"),
         share(F.col("for_sale") < F.col("sold")).alias("for_sale_older"))
-    return summary.join(F.broadcast(median.select("median_years")))
+    return beside(summary, median.select("median_years"))
 
 
 def holding_histogram(df, last=40):
@@ -179,11 +178,11 @@ def review_tallies(df):
     both = F.col("mix").contains("sold") & F.col("mix").contains("for_sale")
     groups = mixes.agg(F.count_if(F.col("mix") == PAIR).alias("lifecycle_groups"),
                        F.count_if(~both).alias("same_status_groups"))
-    dates = df.join(F.broadcast(sale_window(df))).agg(     # one row
+    dates = beside(df, sale_window(df)).agg(
         F.count_if(F.col(DAY).isNotNull() & day.isNull()).alias("unparseable"),
         F.count_if(day < F.lit("1950-01-01").cast("date")).alias("before_1950"),
         F.count_if(day > F.col("last_sale")).alias("after_window"))
-    return groups.join(F.broadcast(dates))
+    return beside(groups, dates)
 
 
 def duplicate_review(df):
@@ -194,9 +193,10 @@ def duplicate_review(df):
     exact = (flagged.groupBy(*LISTING_KEY, *compared).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
              .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("exact_copies")))
     groups = flagged.groupBy(*LISTING_KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("groups"))
-    return (flagged.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(filled), F.lit(0)).alias("filled_fields"),
-                        *[F.count_if(F.col("status") == s).alias(s) for s in ("for_sale", "sold", "ready_to_build")])
-            .join(F.broadcast(exact)).join(F.broadcast(groups)))      # one row each
+    tallies = flagged.agg(
+        F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(filled), F.lit(0)).alias("filled_fields"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
+    return beside(tallies, exact, groups)
 
 
 def zero_price_by_status(df):

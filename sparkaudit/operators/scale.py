@@ -57,6 +57,14 @@ def keep_matching(rows, groups, keys, weight, stored=False, limit=BROADCAST_ROWS
                   stored=stored, limit=limit).drop("_found")
 
 
+def beside(rows, *one_rows):
+    """The columns of one-row tables next to every row of ``rows``, as scalar subqueries."""
+    for one in one_rows:
+        packed = one.select(F.struct("*").alias("_one")).scalar()
+        rows = rows.withColumn("_one", packed).select(*rows.columns, *[F.col("_one")[c].alias(c) for c in one.columns])
+    return rows
+
+
 def cell_of(value):
     """Coarse integer position of a number; never decreases as the number grows."""
     inf = F.lit(float("inf"))
