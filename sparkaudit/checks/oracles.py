@@ -416,7 +416,7 @@ STAGES = ["plant_sentinel_dates", "plant_year_plus_1000", "plant_transposed_year
 
 ORACLES = {
     "scan_listings": LISTINGS,
-    "parsed_listings": raw_checks() + "SELECT price AS text_price, " + ", ".join(
+    "parsed_listings": raw_checks() + "SELECT " + ", ".join(
         f"TRY_CAST({c} AS DOUBLE) AS {c}" for c in ("price", "bed", "house_size", "zip_code")) + " FROM t",
     "replace_partition_results": f"""WITH listings AS ({LISTINGS}), recent AS ({RECENT}),
       a AS (SELECT *, {day()} AS day FROM listings), b AS (SELECT *, {day()} AS day FROM recent)

@@ -117,8 +117,7 @@ def scan_listings(spark, folder):
 
 
 def parsed_listings(spark, folder):
-    return cast_listings(raw(spark, folder).withColumn("text_price", F.col("price"))).select(
-        "text_price", "price", "bed", "house_size", "zip_code")
+    return cast_listings(raw(spark, folder)).select("price", "bed", "house_size", "zip_code")
 
 
 def replace_results(spark, folder):

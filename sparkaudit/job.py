@@ -9,7 +9,7 @@ from pathlib import PurePosixPath
 from .operators.contract import ContractError
 from .plans.audit import FLAGS, audit, report_lines, summary_document
 from .schema import RID
-from .session import build_session, materialise
+from .session import build_session
 from .sources.listings import read_raw_csv, with_row_ids
 from .sources.sinks import write_csv, write_json, write_lines
 
@@ -20,7 +20,7 @@ def run(spark, path, out):
     stem = name.split(".")[0]
     raw = spark.read.parquet(path) if path.endswith(".parquet") else read_raw_csv(spark, path)
     try:
-        result = audit(raw if RID in raw.columns else materialise(with_row_ids(raw)))
+        result = audit(raw, stored=True) if RID in raw.columns else audit(with_row_ids(raw))
     except ContractError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

@@ -11,16 +11,16 @@ class ContractError(ValueError):
     """The input does not have the listings structure."""
 
 
-def _report(df, checks, constants=()):
-    """(column, check, violations) rows from one aggregate over ``df``; checks without violations are left out."""
-    found = df.sparkSession.createDataFrame(list(constants), "column string, check string, violations bigint")
-    if checks:
-        counted = df.agg(*[F.count_if(bad).alias(f"c{i}") for i, (_, _, bad) in enumerate(checks)])
-        rows = counted.select(F.explode(F.array(*[
-            F.struct(F.lit(column).alias("column"), F.lit(check).alias("check"), F.col(f"c{i}").alias("violations"))
-            for i, (column, check, _) in enumerate(checks)])).alias("r")).select("r.*")
-        found = found.unionByName(rows) if constants else rows
-    return found.where(F.col("violations") > 0)
+def counted_checks(checks):
+    """Aggregates ``c0``, ``c1``, ... of the records that violate each check."""
+    return [F.count_if(bad).alias(f"c{i}") for i, (_, _, bad) in enumerate(checks)]
+
+
+def listed_checks(counts, checks):
+    """(column, check, violations) rows of a one-row table of such counts; checks without violations are left out."""
+    return counts.select(F.explode(F.array(*[
+        F.struct(F.lit(column).alias("column"), F.lit(check).alias("check"), F.col(f"c{i}").alias("violations"))
+        for i, (column, check, _) in enumerate(checks)])).alias("r")).select("r.*").where("violations > 0")
 
 
 def _ordered(report):
@@ -45,7 +45,11 @@ def structure_report(df):
     constants = [(c, "column_in_dataframe", 1) for c in LISTING_COLUMNS if c not in df.columns]
     constants += [(c, "column_in_schema", 1) for c in df.columns if c not in (*LISTING_COLUMNS, RID)]
     checks = coercion_checks(present) + (category_checks() if "status" in present else [])
-    return _ordered(_report(df, checks, constants))
+    report = df.sparkSession.createDataFrame(constants, "column string, check string, violations bigint")
+    if checks:
+        counted = listed_checks(df.agg(*counted_checks(checks)), checks)
+        report = report.unionByName(counted) if constants else counted
+    return _ordered(report)
 
 
 def enforce_structure(df):
@@ -85,11 +89,15 @@ def row_checks():
             (ROW, "ready_to_build record has no previous sale", (status == "ready_to_build") & date.isNotNull())]
 
 
+def expectations():
+    return range_checks() + pattern_checks() + row_checks()
+
+
 def violation_counts(df, checks):
     """One row per check of ``checks`` that some record violates. A missing value violates no range or pattern."""
-    return _ordered(_report(df, checks))
+    return _ordered(listed_checks(df.agg(*counted_checks(checks)), checks))
 
 
 def expectation_report(df):
     """How many records violate each expectation, most violated first; all counted in one pass."""
-    return violation_counts(df, range_checks() + pattern_checks() + row_checks())
+    return violation_counts(df, expectations())

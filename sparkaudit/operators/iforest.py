@@ -3,16 +3,24 @@
 A tree needs 256 records whatever the table's size, so trees are built from a bounded hash sample, one task per
 tree, and the forest is at most 100 x 511 nodes. Scoring is a map over the table.
 """
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.columns import hash60
 from ..schema import RID
+from ..session import materialise
 from .robust import GROUP, attach_stats, price_groups, price_measures, price_stats
 from .scale import group_quantiles, value_counts
 
+# the two task functions travel with their helpers, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREES, SAMPLE = 100, 256
 POOL = TREES * SAMPLE
 EULER = 0.5772156649015329
@@ -26,7 +34,7 @@ def features(df, price_only=False, stats=None):
     stats = price_stats(df) if stats is None else stats
     measures = price_measures()
     zips = {GROUP: price_groups()[GROUP]}
-    wide = attach_stats(df, stats, measures, zips)
+    wide = attach_stats(df, stats, measures, zips, min_n=0, constant=True)
     raw = {"lp": measures["price"], "lppsf": measures["per_size"],
            "lp_rel": measures["price"] - F.col(f"{GROUP}_med_price"),
            "lppsf_rel": measures["per_size"] - F.col(f"{GROUP}_med_per_size"),
@@ -77,19 +85,21 @@ def fit(df, columns, seed=0, trees=TREES, sample=SAMPLE):
     The pool is the records with the smallest hashes, as many as all trees take together; each tree draws its own
     records from the pool without replacement.
     """
-    pool = (df.select(RID, F.array(*[F.col(c) for c in columns]).alias("x"), hash60("forest", seed, F.col(RID)).alias("u"))
-            .orderBy("u").limit(trees * sample).select(RID, "x"))
-
-    def draw(key, rows):
-        # one task per tree over the bounded pool
-        tree = int(key[0])
-        order = rows.sort_values("h").head(sample)
-        return pd.DataFrame(build_tree(tree, np.array(order["x"].tolist(), dtype=float), seed),
+    pool = materialise(df.select(RID, F.array(*[F.col(c) for c in columns]).alias("x"), hash60("forest", seed, F.col(RID)).alias("u"))
+                       .orderBy("u").limit(trees * sample).select(RID, "x"))
+
+    drawn = (pool.select(RID, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+             .withColumn("_rank", F.row_number().over(
+                 Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", RID), RID)))
+             .where(F.col("_rank") <= sample))
+
+    def grow(key, rows):
+        # at most ``sample`` rows per tree
+        x = np.array(rows.sort_values("_rank")["x"].tolist(), dtype=float)
+        return pd.DataFrame(build_tree(int(key[0]), x, seed),
                             columns=["tree", "node", "feature", "threshold", "left", "right", "length"])
 
-    dealt = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-             .withColumn("h", F.xxhash64(F.lit(seed), "tree", RID)))
-    return dealt.groupBy("tree").applyInPandas(draw, NODE_SCHEMA)
+    return drawn.join(F.broadcast(pool), RID).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
 def score(df, columns, nodes, sample=SAMPLE, name="anomaly"):

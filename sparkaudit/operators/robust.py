@@ -2,9 +2,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import (MAD_FLOOR_QUANTILE, MIN_GROUP_SIZE, MODIFIED_Z_SCALE, MODIFIED_Z_THRESHOLD)
-from ..session import materialise
-from .scale import DIRECT_VALUES, attach, group_quantiles, has_at_most
+from ..schema import MAD_FLOOR_QUANTILE, MIN_GROUP_SIZE, MODIFIED_Z_SCALE, MODIFIED_Z_THRESHOLD
+from ..session import materialise, stored_rows
+from . import scale
+from .scale import attach, group_quantiles
 
 GROUP, FALLBACK = "group", "fallback"
 # Stand-ins for a missing group, so that records without one form a group of their own.
@@ -32,16 +33,15 @@ def measure_counts(df, measures, groups):
         F.count(F.lit(1)).alias("n"))
 
 
-def robust_stats(df, measures, groups, direct=DIRECT_VALUES) -> DataFrame:
+def robust_stats(df, measures, groups) -> DataFrame:
     """Stored (level, key, measure, n, med, mad), exact."""
     by = ["level", "key", "measure"]
     counts = materialise(measure_counts(df, measures, groups))
-    medians = materialise(group_quantiles(counts, by, [0.5], names=["med"], stored=True, direct=direct))
-    small = has_at_most(counts, direct)
+    medians = materialise(group_quantiles(counts, by, [0.5], names=["med"], stored=True))
     centred = attach(counts.withColumnRenamed("n", "w"), medians, by, "n", stored=True)
     deviations = centred.groupBy(*by, F.abs(F.col("v") - F.col("med")).alias("v")).agg(F.sum("w").alias("n"))
-    mads = group_quantiles(deviations, by, [0.5], names=["mad"], stored=small, direct=direct,
-                           small=small).drop("n")
+    small = stored_rows(counts) <= scale.DIRECT_VALUES      # there are no more deviations than values
+    mads = group_quantiles(deviations, by, [0.5], names=["mad"], stored=small, small=small).drop("n")
     return materialise(medians.join(mads, by))
 
 
@@ -49,7 +49,8 @@ def mad_floors(stats, quantile=MAD_FLOOR_QUANTILE, min_n=MIN_GROUP_SIZE):
     """(measure, mad_floor): a low quantile of the MADs of all groups of a fair size. No such group, no row."""
     mads = (stats.where((F.col("level") == GROUP) & (F.col("n") >= min_n))
             .groupBy("measure", F.col("mad").alias("v")).agg(F.count(F.lit(1)).alias("n")))
-    return group_quantiles(mads, ["measure"], [quantile], names=["mad_floor"], stored=True).drop("n")
+    return group_quantiles(mads, ["measure"], [quantile], names=["mad_floor"], stored=True,
+                           small=stored_rows(stats) <= scale.DIRECT_VALUES).drop("n")
 
 
 def modified_z(value, median, mad):
@@ -59,31 +60,40 @@ def modified_z(value, median, mad):
             .when(gap > 0, F.lit(float("inf"))).when(gap < 0, F.lit(float("-inf"))))
 
 
-def attach_stats(df, stats, measures, groups):
-    """Statistics of a record's group and fallback as columns ``<level>_<n|med|mad>_<measure>``."""
+def wide_stats(stats, level, measures, floors=None, min_n=MIN_GROUP_SIZE, constant=False):
+    """One row per key of a level, with the median and the floored MAD of every measure.
+
+    A group that is small or, unless ``constant``, without any spread in a measure has neither: both then come from
+    the fallback.
+    """
+    floor = F.lit(None).cast("double")
+    for m, value in (floors or {}).items():
+        floor = F.when(F.col("measure") == m, F.lit(value)).otherwise(floor)
+    usable = (F.col("n") >= min_n) & ((F.col("mad") != 0) | F.lit(constant)) if level == GROUP else F.lit(True)
+    chosen = stats.where((F.col("level") == level) & usable).withColumn("mad", F.greatest("mad", floor))
+    picked = [F.max(F.when(F.col("measure") == m, F.col(s))).alias(f"{level}_{s}_{m}")
+              for m in measures for s in ("med", "mad")]
+    return chosen.groupBy(F.col("key").alias("_key")).agg(F.max("n").alias(f"_size_{level}"), *picked)
+
+
+def attach_stats(df, stats, measures, groups, floors=None, min_n=MIN_GROUP_SIZE, constant=False):
+    """Adds ``<level>_med_<measure>`` and ``<level>_mad_<measure>`` of a record's group and fallback."""
     for level, key in groups.items():
-        wide = (stats.where(F.col("level") == level).groupBy(F.col("key").alias("_key"))
-                .agg(F.max("n").alias(f"_size_{level}"), *[
-                    F.max(F.when(F.col("measure") == m, F.col(s))).alias(f"{level}_{s}_{m}")
-                    for m in measures for s in ("n", "med", "mad")]))
-        df = attach(df.withColumn("_key", key.cast("string")), materialise(wide), ["_key"], f"_size_{level}",
-                    how="left", stored=True).drop("_key", f"_size_{level}")
+        wide = wide_stats(stats, level, measures, floors, min_n, constant)
+        keyed = df.withColumn("_key", key.cast("string"))
+        if stored_rows(stats) <= scale.BROADCAST_ROWS:      # the wide form has fewer rows still
+            found = keyed.join(F.broadcast(wide), "_key", "left")
+        else:
+            found = attach(keyed, wide, ["_key"], f"_size_{level}", how="left")
+        df = found.drop("_key", f"_size_{level}")
     return df
 
 
-def chosen_stats(measure, min_n=MIN_GROUP_SIZE):
-    """(median, mad, whether the fallback is used): both come from the fallback for a small or constant group."""
-    n, mad = F.col(f"group_n_{measure}"), F.col(f"group_mad_{measure}")
-    use_fallback = n.isNull() | (n < min_n) | mad.isNull() | (mad == 0)
-    return (F.when(use_fallback, F.col(f"fallback_med_{measure}")).otherwise(F.col(f"group_med_{measure}")),
-            F.when(use_fallback, F.col(f"fallback_mad_{measure}")).otherwise(mad), use_fallback)
-
-
-def grouped_z(value, measure, floor=None, min_n=MIN_GROUP_SIZE):
-    median, mad, _ = chosen_stats(measure, min_n)
-    if floor is not None:
-        mad = F.when(mad.isNotNull(), F.greatest(mad, F.lit(floor)))
-    return modified_z(value, median, mad)
+def chosen_stats(measure):
+    """(median, mad, whether the fallback is used)."""
+    median, mad = f"{GROUP}_med_{measure}", f"{GROUP}_mad_{measure}"
+    return (F.coalesce(median, f"{FALLBACK}_med_{measure}"), F.coalesce(mad, f"{FALLBACK}_mad_{measure}"),
+            F.col(mad).isNull())
 
 
 def robust_z(df, measures, groups, quantile=MAD_FLOOR_QUANTILE, min_n=MIN_GROUP_SIZE, stats=None, prefix="z_"):
@@ -92,9 +102,12 @@ def robust_z(df, measures, groups, quantile=MAD_FLOOR_QUANTILE, min_n=MIN_GROUP_
     # one floor per measure
     floors = {} if quantile is None else {
         r["measure"]: r["mad_floor"] for r in mad_floors(stats, quantile, min_n).collect()}
-    wide = attach_stats(df, stats, measures, groups)
-    return wide.select(*df.columns, *[grouped_z(v, m, floors.get(m), min_n).alias(f"{prefix}{m}")
-                                      for m, v in measures.items()])
+    wide = attach_stats(df, stats, measures, groups, floors, min_n)
+    # one projection per step, so that no expression is written out more than once
+    parts = wide.select(*df.columns, *[c for m, v in measures.items() for c in (
+        (v - chosen_stats(m)[0]).alias(f"_gap_{m}"), chosen_stats(m)[1].alias(f"_mad_{m}"))])
+    return parts.select(*df.columns, *[
+        modified_z(F.col(f"_gap_{m}"), F.lit(0.0), F.col(f"_mad_{m}")).alias(f"{prefix}{m}") for m in measures])
 
 
 def price_stats(df):

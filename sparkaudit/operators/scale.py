@@ -5,10 +5,10 @@ the table costs no more than many small ones.
 """
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, stored_rows
 
 # Rows of a key-value table that may be broadcast. About 10 MB at 100 bytes a row.
 BROADCAST_ROWS = 100_000
@@ -21,22 +21,17 @@ CELLS = 16_384
 OUTER_CELL = 2 ** 40
 
 
-def has_at_most(stored: DataFrame, limit):
-    """Whether a stored table has at most ``limit`` rows; the count comes from the file footers."""
-    return stored.count() <= limit
-
-
-def attach(rows, stats, keys, weight, how="inner", stored=False, limit=BROADCAST_ROWS):
+def attach(rows, stats, keys, weight, how="inner", stored=False):
     """Add the columns of ``stats`` (one row per key, keys never missing) to the rows of each key.
 
     ``weight`` names a column of ``stats`` that grows with the key's number of rows. ``stats`` is stored unless it
-    already is, and broadcast when it has at most ``limit`` rows. Beyond that the heaviest keys, at most
+    already is, and broadcast when it has at most ``BROADCAST_ROWS`` rows. Beyond that the heaviest keys, at most
     ``HEAVY_KEYS`` rows, are broadcast; their rows pass the shuffle join scattered over all partitions instead of
     meeting in one.
     """
     extra = [c for c in stats.columns if c not in keys]
     stats = stats if stored else materialise(stats)
-    if has_at_most(stats, limit):
+    if stored_rows(stats) <= BROADCAST_ROWS:
         return rows.join(F.broadcast(stats), keys, how).select(*rows.columns, *extra)
     packed = stats.select(*keys, F.col(weight).alias("_weight"), F.struct(*extra).alias("_stat"))
     heavy = (packed.orderBy(F.desc("_weight")).limit(HEAVY_KEYS)
@@ -51,10 +46,10 @@ def attach(rows, stats, keys, weight, how="inner", stored=False, limit=BROADCAST
     return found.select(*rows.columns, *[F.col("_stat")[c].alias(c) for c in extra])
 
 
-def keep_matching(rows, groups, keys, weight, stored=False, limit=BROADCAST_ROWS):
+def keep_matching(rows, groups, keys, weight, stored=False):
     """Rows whose key occurs in ``groups``: a semi-join that is safe for heavy keys."""
     return attach(rows, groups.select(*keys, F.col(weight).alias("_found")), keys, "_found",
-                  stored=stored, limit=limit).drop("_found")
+                  stored=stored).drop("_found")
 
 
 def beside(rows, *one_rows):
@@ -72,18 +67,17 @@ def cell_of(value):
     return F.when(value == inf, F.lit(OUTER_CELL)).when(value == -inf, F.lit(-OUTER_CELL)).otherwise(fine)
 
 
-def group_quantiles(counts, keys, probs, value="v", weight="n", names=None, stored=False, direct=DIRECT_VALUES,
-                    small=None):
+def group_quantiles(counts, keys, probs, value="v", weight="n", names=None, stored=False, small=None):
     """Exact quantiles (linear interpolation) of every group, with the group's size as ``n``.
 
     ``counts`` has one row per group and distinct value and its number of occurrences; keys are never missing.
     ``stored`` says that it is cheap to read more than once, ``small`` that its size was checked before. When the
-    whole of it has at most ``direct`` rows, no
+    whole of it has at most ``DIRECT_VALUES`` rows, no
     group can be too large for Spark's own ``percentile``; beyond that the quantiles are found by cells.
     """
     names = names or [f"q{i}" for i in range(len(probs))]
     counts = counts if stored else materialise(counts)
-    if small or has_at_most(counts, direct):
+    if small or (small is None and stored_rows(counts) <= DIRECT_VALUES):
         found = counts.groupBy(*keys).agg(
             F.sum(weight).alias("n"),
             F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.col(weight)).alias("_q"))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_of
-from ..operators.contract import enforce_structure, expectation_report
+from ..operators.contract import counted_checks, enforce_structure, expectations, listed_checks
 from ..operators.dates import invalid_date
 from ..operators.duplicates import duplicates, mark_duplicates
 from ..operators.properties import records_sharing_address
@@ -77,31 +77,40 @@ def flag_counts(flagged):
 
 
 def summary_rows(df, flagged):
-    """The summary as (part, item, detail, value) rows: counts per flag, expectation and context."""
+    """The summary as (part, item, detail, value) rows: counts per flag, expectation and context.
+
+    Records, expectations and missing dates are counted per status in one pass over the table.
+    """
     def rows(source, part, item, detail, value):
         return source.select(F.lit(part).alias("part"), item.alias("item"), detail.alias("detail"),
                              value.cast("double").alias("value"))
 
-    none = F.lit("")
-    counts = flag_counts(flagged)
-    per_flag = counts.select(F.explode(F.array(*[
+    none, checks = F.lit(""), expectations()
+    profile = materialise(df.groupBy("status").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("prev_sold_date").isNull()).alias("missing"),
+        *counted_checks(checks)))
+    violated = listed_checks(profile.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(checks))]), checks)
+    per_flag = flag_counts(flagged).select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in ("records_flagged", *FLAGS)])).alias("r"))
     per_flag = per_flag.select("r.*")
     part = F.when(F.col("item") == "records_flagged", F.lit("records")).otherwise(F.lit("flags"))
-    return (rows(df.agg(F.count(F.lit(1)).alias("n")), "records", F.lit("records"), none, F.col("n"))
+    return (rows(profile.agg(F.sum("records").alias("n")), "records", F.lit("records"), none, F.col("n"))
             .unionByName(per_flag.select(part.alias("part"), "item", none.alias("detail"),
                                          F.col("value").cast("double").alias("value")))
-            .unionByName(rows(expectation_report(df), "expectations", F.col("column"), F.col("check"),
-                              F.col("violations")))
+            .unionByName(rows(violated, "expectations", F.col("column"), F.col("check"), F.col("violations")))
             .unionByName(rows(records_sharing_address(df), "context", F.lit("records_sharing_an_address"), none,
                               F.col("records")))
-            .unionByName(rows(missing_rate_by_status(df), "missing_prev_sold_date_by_status", F.col("status"), none,
-                              F.col("missing_rate"))))
+            .unionByName(rows(profile, "missing_prev_sold_date_by_status", F.col("status"), none,
+                              F.bround(F.col("missing") / F.col("records"), 4))))
 
 
-def audit(raw) -> Audit:
-    """Raises ``ContractError`` before anything else runs when the table does not have the listings structure."""
+def audit(raw, stored=False) -> Audit:
+    """Raises ``ContractError`` before anything else runs when the table does not have the listings structure.
+
+    ``stored`` says that ``raw`` is a columnar table; other input, which every pass would parse again, is stored.
+    """
     df = enforce_structure(raw)
+    df = df if stored else materialise(df)
     flagged = materialise(flagged_records(df))
     return Audit(audit_report(flagged), materialise(summary_rows(df, flagged)))
 

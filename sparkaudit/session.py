@@ -2,7 +2,8 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name="sparkaudit", master=None, **conf):
@@ -44,9 +45,19 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     The result survives the loss of executors, is computed once however often it is read, and carries its
-    true size, so Spark itself decides by that size whether a join may broadcast it.
+    true size, so Spark itself decides by that size whether a join may broadcast it. Its number of rows, counted
+    while writing, is kept for ``stored_rows``.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_rows = written.get["rows"]
+    return stored
+
+
+def stored_rows(df: DataFrame) -> int:
+    """Rows of a stored table; counted from the file footers when it was not written here."""
+    known = df.__dict__.get("_stored_rows")
+    return df.count() if known is None else known
