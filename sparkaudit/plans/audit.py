@@ -1,6 +1,7 @@
 """The whole audit of one table: contract, flags, report, summary."""
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,8 +138,20 @@ def summary_document(summary, generated_at):
                  .alias("missing_prev_sold_date_by_status")).alias("context"))
 
 
+def percent(share, digits):
+    """A share as text like 21.4%. Python rounds the binary value, the JVM its shortest decimal, so the few numbers of
+    a report are formatted in Python."""
+    @F.pandas_udf("string")
+    def text(shares: pd.Series) -> pd.Series:
+        return shares.map(f"{{:.{digits}%}}".format, na_action="ignore")
+
+    return text(share)
+
+
 def report_lines(summary, source, generated_at):
     """The Markdown report as (line_no, line), made from the summary rows only."""
+    summary = summary.withColumn("share", percent(F.when(
+        F.col("part") == "missing_prev_sold_date_by_status", F.col("value")), 1))
     value = F.col("value")
     number = F.format_number(value.cast("bigint"), 0)
     doc = summary.agg(
@@ -146,20 +159,21 @@ def report_lines(summary, source, generated_at):
         F.max(F.when(F.col("item") == "records_flagged", value)).alias("k"),
         F.max(F.when(F.col("item") == "records_sharing_an_address", value)).alias("shared"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(
-            F.col("part") == "missing_prev_sold_date_by_status", F.struct("item", "value")))),
-            lambda m: F.format_string("%s %.1f%%", m["item"], m["value"] * 100)), ", ").alias("missing"),
+            F.col("part") == "missing_prev_sold_date_by_status", F.struct("item", "share")))),
+            lambda m: F.concat(m["item"], F.lit(" "), m["share"])), ", ").alias("missing"),
         F.sort_array(F.collect_list(F.when(F.col("part") == "expectations", F.struct(
             (-value).alias("order"), F.col("item").alias("item"), F.col("detail").alias("detail"))))).alias("checks"),
         F.map_from_entries(F.collect_list(F.when(F.col("part") == "flags", F.struct("item", number.alias("v")))))
         .alias("flags"))
 
+    doc = doc.withColumn("flagged_share", percent(F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0), 2))
+
     def whole(column):
         return F.format_number(column.cast("bigint"), 0)
 
     head = [F.lit(f"# Data quality audit: `{source}`"), F.lit(""),
             F.concat(whole(F.col("n")), F.lit(" records · "), whole(F.col("k")), F.lit(" flagged ("),
-                     F.format_string("%.2f%%", F.when(F.col("n") > 0, F.col("k") / F.col("n") * 100).otherwise(0.0)),
-                     F.lit(f") · generated {generated_at}")),
+                     F.col("flagged_share"), F.lit(f") · generated {generated_at}")),
             F.lit(""), F.lit("## Flags"), F.lit(""), F.lit("| Flag | Records | Meaning |"), F.lit("|---|---:|---|"),
             *[F.concat(F.lit(f"| `{f}` | "), F.col("flags")[f], F.lit(f" | {meaning} |")) for f, meaning in FLAGS.items()],
             F.lit(""), F.lit("## Contract expectations"), F.lit("")]
