@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import HASH_BITS, all_present, any_of, hash60, unit
+from ..functions.columns import HASH_BITS, all_present, hash60, unit
 from ..schema import DATE_PATTERN, LISTING_KEY, MAX_DATE, RID
 from ..session import materialise
 from .scale import kth_smallest, running_totals
@@ -95,22 +95,21 @@ def stages(spec, seed):
 
 
 def cutoffs(df, plan, seed):
-    """The largest hash each stage takes. Raises when a pool is too small.
+    """(largest hash each stage takes, largest record id). Raises when a pool is too small.
 
     Only records below a threshold that surely holds all samples are kept for the search; one count of the pools
     gives the threshold.
     """
     flags = [F.coalesce(s.eligible, F.lit(False)).alias(f"e{i}") for i, s in enumerate(plan)]
-    hashed = df.select(hash60(seed, F.col(RID)).alias("u"), *flags)
-    pools = hashed.agg(*[F.count_if(f"e{i}") for i in range(len(plan))]).first()
+    hashed = df.select(RID, hash60(seed, F.col(RID)).alias("u"), *flags)
+    *pools, top = hashed.agg(*[F.count_if(f"e{i}") for i in range(len(plan))], F.max(RID)).first()
     drawn, share = 0, 0.0
     for stage, pool in zip(plan, pools, strict=True):
         drawn += stage.n
         share = max(share, 1.5 * (drawn + 50) / max(pool, 1))
     for attempt in (share, 1.0):
         threshold = 2 ** HASH_BITS if attempt >= 1 else int(attempt * 2 ** HASH_BITS)
-        near = materialise(hashed.where((F.col("u") < threshold) & any_of(
-            [F.col(f"e{i}") for i in range(len(plan))])))
+        near = materialise(hashed.where(F.col("u") < threshold).drop(RID))
         found, free = [], F.lit(True)
         for i, stage in enumerate(plan):
             cutoff = kth_smallest(near.where(free & F.col(f"e{i}")), "u", stage.n)
@@ -119,25 +118,30 @@ def cutoffs(df, plan, seed):
             found.append(cutoff)
             free = free & ~(F.col(f"e{i}") & (F.col("u") <= cutoff))
         if len(found) == len(plan):
-            return found
+            return found, top
         if threshold == 2 ** HASH_BITS:
             break
     raise ValueError(f"not enough records to plant {plan[len(found)].n} x {plan[len(found)].name}")
 
 
-def assigned(df, plan, seed):
-    """Adds ``_u`` and ``_stage``: the position in ``plan`` of the stage that takes the record, else missing."""
-    stage, u = None, F.col("_u")
-    for i, (step, cutoff) in enumerate(zip(plan, cutoffs(df, plan, seed), strict=True)):
-        taken = step.eligible & (u <= cutoff)
-        stage = F.when(taken, F.lit(i)) if stage is None else stage.when(taken, F.lit(i))
-    return df.withColumn("_u", hash60(seed, F.col(RID))).withColumn("_stage", stage)
+def stage_of(plan, found):
+    """The position in ``plan`` of the stage that takes a record with hash ``_u``, else missing."""
+    stage = F.when(F.lit(False), F.lit(0))
+    for i, (step, cutoff) in enumerate(zip(plan, found, strict=True)):
+        stage = stage.when((F.col("_u") <= cutoff) & step.eligible, F.lit(i))
+    return stage
+
+
+def picked(df, plan, found, seed):
+    """The records that the stages take, with ``_u`` and ``_stage``. Most records fail the first, cheap comparison."""
+    few = df.withColumn("_u", hash60(seed, F.col(RID))).where(F.col("_u") <= max(found))
+    return few.withColumn("_stage", stage_of(plan, found)).where(F.col("_stage").isNotNull())
 
 
 def sample(df, n, seed, eligible=None):
     """``n`` records of the eligible pool, the same for the same seed on any partitioning."""
-    stage = Stage("sample", "", "", n, F.lit(True) if eligible is None else eligible)
-    return assigned(df, [stage], seed).where("_stage = 0").drop("_u", "_stage")
+    plan = [Stage("sample", "", "", n, F.lit(True) if eligible is None else eligible)]
+    return picked(df, plan, cutoffs(df, plan, seed)[0], seed).drop("_u", "_stage")
 
 
 def changed(df, plan, copies):
@@ -161,20 +165,23 @@ def plant(df, seed, spec=None) -> Planted:
     the copy and its source are labelled."""
     spec = spec or Spec()
     plan = stages(spec, seed)
-    marked = assigned(df, plan, seed)
+    found, top = cutoffs(df, plan, seed)
+    hits = materialise(picked(df, plan, found, seed))
     is_copy = F.col("_stage").isin([i for i, s in enumerate(plan) if s.copies])
-    top = df.agg(F.max(RID)).first()[0]
-    ranks = running_totals(marked.where(is_copy).select(F.col("_u"), F.lit(1).alias("one")), "_u", ["one"])
-    copies = (changed(marked.where(is_copy), plan, True).withColumn("_source", F.col(RID))
+    sources = hits.where(is_copy)
+    ranks = running_totals(sources.select(F.col("_u"), F.lit(1).alias("one")), "_u", ["one"])
+    copies = (changed(sources, plan, True).withColumn("_source", F.col(RID))
               .join(ranks.select("_u", "cum_one"), "_u")
               .withColumn(RID, F.lit(top) + F.col("cum_one")).drop("cum_one"))
-    edited = changed(marked, plan, False).withColumn("_source", F.col(RID))
-    both = edited.unionByName(copies.select(edited.columns))
-    labelled = both.where(F.col("_stage").isNotNull())
+    copies = materialise(copies)
+    edited = changed(hits, plan, False).withColumn("_source", F.col(RID))
+    labelled = edited.unionByName(copies.select(edited.columns))
     subtype = F.when(F.col("_stage") == 0, F.concat(F.lit("sentinel "), F.col("prev_sold_date"))).otherwise(
         of_plan(plan, "subtype"))
     labels = labelled.select(RID, of_plan(plan, "family").alias("family"), subtype.alias("subtype"))
     written = labelled.where(~is_copy | (F.col(RID) != F.col("_source")))
     changes = written.select(RID, F.col("_source").alias("source_rid"), of_plan(plan, "name").alias("stage"),
                              subtype.alias("subtype"), *[c for c in df.columns if c != RID])
-    return Planted(both.select(df.columns), labels, changes)
+    marked = df.withColumn("_u", hash60(seed, F.col(RID))).withColumn("_stage", stage_of(plan, found))
+    table = changed(marked, plan, False).select(df.columns).unionByName(copies.select(df.columns))
+    return Planted(table, labels, changes)

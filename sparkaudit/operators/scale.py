@@ -151,7 +151,7 @@ def running_totals(df, value, sums, descending=False):
             .select(*df.columns, *[(F.col(f"_before_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sums]))
 
 
-def kth_smallest(df, column, k, bits=60, direct=100_000):
+def kth_smallest(df, column, k, bits=60, direct=1_000_000):
     """The ``k``-th smallest value of a non-negative integer column as a Python int; None when there are fewer.
 
     A moderate ``k`` is a top-k (each task keeps ``k`` values). A larger one descends 12 bits at a time through

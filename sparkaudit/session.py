@@ -13,6 +13,8 @@ def build_session(app_name="sparkaudit", master=None, **conf):
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # exact percentiles of many small groups stay hash-based; the tables they run on are of checked size
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
         **conf,
     }
     builder = SparkSession.builder.appName(app_name)
