@@ -99,7 +99,9 @@ def fit(df, columns, seed=0, trees=TREES, sample=SAMPLE):
         return pd.DataFrame(build_tree(int(key[0]), x, seed),
                             columns=["tree", "node", "feature", "threshold", "left", "right", "length"])
 
-    return drawn.join(F.broadcast(pool), RID).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    # a fixed number of partitions, so that the small tree inputs are not merged into one task
+    return (drawn.join(F.broadcast(pool), RID).repartition(trees, "tree").groupBy("tree")
+            .applyInPandas(grow, NODE_SCHEMA))
 
 
 def score(df, columns, nodes, sample=SAMPLE, name="anomaly"):

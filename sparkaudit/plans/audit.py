@@ -1,7 +1,6 @@
 """The whole audit of one table: contract, flags, report, summary."""
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,11 +140,7 @@ def summary_document(summary, generated_at):
 def percent(share, digits):
     """A share as text like 21.4%. Python rounds the binary value, the JVM its shortest decimal, so the few numbers of
     a report are formatted in Python."""
-    @F.pandas_udf("string")
-    def text(shares: pd.Series) -> pd.Series:
-        return shares.map(f"{{:.{digits}%}}".format, na_action="ignore")
-
-    return text(share)
+    return F.udf(lambda value: None if value is None else f"{value:.{digits}%}", "string")(share)
 
 
 def report_lines(summary, source, generated_at):
