@@ -1,6 +1,6 @@
 """Batch audit: listings in; flagged records, summary and report out.
 
-    spark-submit -m sparkaudit.job <listings.csv or .parquet> <output folder>
+    spark-submit --py-files sparkaudit.zip run_audit.py <listings.csv or .parquet> <output folder>
 """
 import sys
 from datetime import UTC, datetime
@@ -35,5 +35,6 @@ def run(spark, path, out):
     return 0
 
 
-if __name__ == "__main__":
-    sys.exit(run(build_session(), sys.argv[1], sys.argv[2]))
+def main(argv):
+    path, out = argv
+    return run(build_session(), path, out)

@@ -55,7 +55,7 @@ def materialise(df: DataFrame) -> DataFrame:
     written = Observation()
     df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
-    stored._stored_rows = written.get["rows"]
+    stored._stored_rows = written.get.get("rows")
     return stored
 
 
