@@ -1,6 +1,7 @@
 """Registered queries of the subpackage: each applies one operator to its whole table."""
 from pyspark.sql import functions as F
 
+from .jaccard_join import similar_documents
 from .line_dedup import drop_frequent_lines
 from .pii import BASE, find_pii, span_list
 from .url_filter import judge_urls, rule_table, site_rule, word_rule
@@ -34,7 +35,12 @@ def op8_pii(spark, sf_dir):
                         F.sha2(base, 256).alias("base_sha256"), span_list(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op5_url_filter, op6_line_dedup, op8_pii)}
+def op10_jaccard_join(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return similar_documents(docs).select("doc_id", "class_id", "copy_of", "n_links")
+
+
+QUERIES = {f.__name__: f for f in (op5_url_filter, op6_line_dedup, op8_pii, op10_jaccard_join)}
 
 _WORDS = "|".join(w.replace("-", "[^0-9A-Za-z/]") for w in SPAM_WORDS)
 _RULES = ", ".join(f"('{site}', '{site.split('/', 1)[0]}', '/{site.split('/', 1)[1]}', '{verdict}')" for site, verdict in SITE_RULES)
