@@ -1,6 +1,7 @@
 """Registered queries of the subpackage: each applies one operator to its whole table."""
 from pyspark.sql import functions as F
 
+from .decontaminate import find_overlaps
 from .jaccard_join import similar_documents
 from .line_dedup import drop_frequent_lines
 from .pii import BASE, find_pii, span_list
@@ -13,6 +14,11 @@ SPAM_WORDS = ["adult", "casino", "cheap-pills", "escort", "free-bets", "gambling
               "replica-watches", "viagra", "xxx"]
 
 
+def op2_decontamination(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_url_filter(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     rules = [site_rule(*r) for r in SITE_RULES] + [word_rule(w) for w in SPAM_WORDS]
@@ -40,7 +46,7 @@ def op10_jaccard_join(spark, sf_dir):
     return similar_documents(docs).select("doc_id", "class_id", "copy_of", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op5_url_filter, op6_line_dedup, op8_pii, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op5_url_filter, op6_line_dedup, op8_pii, op10_jaccard_join)}
 
 _WORDS = "|".join(w.replace("-", "[^0-9A-Za-z/]") for w in SPAM_WORDS)
 _RULES = ", ".join(f"('{site}', '{site.split('/', 1)[0]}', '/{site.split('/', 1)[1]}', '{verdict}')" for site, verdict in SITE_RULES)
