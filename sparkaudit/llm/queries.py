@@ -5,6 +5,7 @@ from .decontaminate import find_overlaps
 from .jaccard_join import similar_documents
 from .line_dedup import drop_frequent_lines
 from .pii import BASE, find_pii, span_list
+from .top_k import top_k
 from .url_filter import judge_urls, rule_table, site_rule, word_rule
 
 # Fixed values of the URL query.
@@ -19,6 +20,11 @@ def op2_decontamination(spark, sf_dir):
     return find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_top_k(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op5_url_filter(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     rules = [site_rule(*r) for r in SITE_RULES] + [word_rule(w) for w in SPAM_WORDS]
@@ -46,12 +52,19 @@ def op10_jaccard_join(spark, sf_dir):
     return similar_documents(docs).select("doc_id", "class_id", "copy_of", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_url_filter, op6_line_dedup, op8_pii, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_top_k, op5_url_filter, op6_line_dedup, op8_pii, op10_jaccard_join)}
 
 _WORDS = "|".join(w.replace("-", "[^0-9A-Za-z/]") for w in SPAM_WORDS)
 _RULES = ", ".join(f"('{site}', '{site.split('/', 1)[0]}', '/{site.split('/', 1)[1]}', '{verdict}')" for site, verdict in SITE_RULES)
 
 ORACLES = {
+    "op3_top_k": """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op5_url_filter": f"""
 WITH u AS (
   SELECT row_number() OVER () AS r, page_id,
