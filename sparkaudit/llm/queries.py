@@ -3,8 +3,10 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_overlaps
 from .jaccard_join import similar_documents
+from .language import identify_languages
 from .line_dedup import drop_frequent_lines
 from .pii import BASE, find_pii, span_list
+from .quality import classify_quality
 from .top_k import top_k
 from .url_filter import judge_urls, rule_table, site_rule, word_rule
 
@@ -15,6 +17,11 @@ SPAM_WORDS = ["adult", "casino", "cheap-pills", "escort", "free-bets", "gambling
               "replica-watches", "viagra", "xxx"]
 
 
+def op1_quality(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    return classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), host="source", path="lang")
+
+
 def op2_decontamination(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -38,6 +45,11 @@ def op6_line_dedup(spark, sf_dir):
     return drop_frequent_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_pii(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_pii(docs)
@@ -52,7 +64,7 @@ def op10_jaccard_join(spark, sf_dir):
     return similar_documents(docs).select("doc_id", "class_id", "copy_of", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_top_k, op5_url_filter, op6_line_dedup, op8_pii, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_top_k, op5_url_filter, op6_line_dedup, op7_language, op8_pii, op10_jaccard_join)}
 
 _WORDS = "|".join(w.replace("-", "[^0-9A-Za-z/]") for w in SPAM_WORDS)
 _RULES = ", ".join(f"('{site}', '{site.split('/', 1)[0]}', '/{site.split('/', 1)[1]}', '{verdict}')" for site, verdict in SITE_RULES)
