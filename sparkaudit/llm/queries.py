@@ -5,6 +5,7 @@ from .decontaminate import find_overlaps
 from .jaccard_join import similar_documents
 from .language import identify_languages
 from .line_dedup import drop_frequent_lines
+from .main_text import extract_text
 from .pii import BASE, find_pii, span_list
 from .quality import classify_quality
 from .top_k import top_k
@@ -59,12 +60,17 @@ def op8_pii(spark, sf_dir):
                         F.sha2(base, 256).alias("base_sha256"), span_list(F.col("pii")).alias("spans"))
 
 
+def op9_main_text(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op10_jaccard_join(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return similar_documents(docs).select("doc_id", "class_id", "copy_of", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_top_k, op5_url_filter, op6_line_dedup, op7_language, op8_pii, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_top_k, op5_url_filter, op6_line_dedup, op7_language, op8_pii, op9_main_text, op10_jaccard_join)}
 
 _WORDS = "|".join(w.replace("-", "[^0-9A-Za-z/]") for w in SPAM_WORDS)
 _RULES = ", ".join(f"('{site}', '{site.split('/', 1)[0]}', '/{site.split('/', 1)[1]}', '{verdict}')" for site, verdict in SITE_RULES)
