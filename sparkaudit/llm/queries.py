@@ -1,4 +1,6 @@
 """Registered queries of the subpackage: each applies one operator to its whole table."""
+import os
+
 from pyspark.sql import functions as F
 
 from .decontaminate import find_overlaps
@@ -7,10 +9,13 @@ from .language import identify_languages
 from .line_dedup import drop_frequent_lines
 from .main_text import extract_text
 from .pii import BASE, find_pii, span_list
+from .pieces import decode, encode, load_vocabulary
 from .quality import classify_quality
 from .top_k import top_k
 from .url_filter import judge_urls, rule_table, site_rule, word_rule
 
+# Model file of the public tokenizer; it is read where it is installed.
+MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 # Fixed values of the URL query.
 SITE_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
               ("com/de/", "block")]
@@ -33,6 +38,14 @@ def op3_top_k(spark, sf_dir):
     return top_k(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op4_pieces(spark, sf_dir):
+    vocabulary = load_vocabulary(MODEL)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    encoded = encode(docs, vocabulary).withColumnRenamed("text", "original")
+    same = F.col("text") == F.coalesce("original", F.lit(""))
+    return decode(encoded, vocabulary).select("doc_id", "n_tokens", "ids", same.alias("round_trip"))
+
+
 def op5_url_filter(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     rules = [site_rule(*r) for r in SITE_RULES] + [word_rule(w) for w in SPAM_WORDS]
@@ -70,7 +83,7 @@ def op10_jaccard_join(spark, sf_dir):
     return similar_documents(docs).select("doc_id", "class_id", "copy_of", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_top_k, op5_url_filter, op6_line_dedup, op7_language, op8_pii, op9_main_text, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_top_k, op4_pieces, op5_url_filter, op6_line_dedup, op7_language, op8_pii, op9_main_text, op10_jaccard_join)}
 
 _WORDS = "|".join(w.replace("-", "[^0-9A-Za-z/]") for w in SPAM_WORDS)
 _RULES = ", ".join(f"('{site}', '{site.split('/', 1)[0]}', '/{site.split('/', 1)[1]}', '{verdict}')" for site, verdict in SITE_RULES)
