@@ -3,6 +3,8 @@ import os
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .decontaminate import find_overlaps
 from .jaccard_join import similar_documents
 from .language import identify_languages
@@ -83,7 +85,10 @@ def op10_jaccard_join(spark, sf_dir):
     return similar_documents(docs).select("doc_id", "class_id", "copy_of", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_top_k, op4_pieces, op5_url_filter, op6_line_dedup, op7_language, op8_pii, op9_main_text, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_decontamination, op3_top_k, op4_pieces, op5_url_filter, op6_line_dedup, op7_language, op8_pii,
+    op9_main_text, op10_jaccard_join)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 _WORDS = "|".join(w.replace("-", "[^0-9A-Za-z/]") for w in SPAM_WORDS)
 _RULES = ", ".join(f"('{site}', '{site.split('/', 1)[0]}', '/{site.split('/', 1)[1]}', '{verdict}')" for site, verdict in SITE_RULES)
@@ -120,3 +125,5 @@ SELECT k.doc_id, count(*) AS n_lines, count(s.key) AS n_dropped,
   sha256(COALESCE(string_agg(CASE WHEN s.key IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
 FROM k LEFT JOIN shared s ON k.key = s.key GROUP BY k.r, k.doc_id""",
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
