@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .shingles import MULTIPLIERS, combined, mixed, word_hashes, words_of
+from .shingles import MULTIPLIERS, combined, forget_words, mixed, word_hashes, words_of
 
 # Words of the window that decides, and the share of its words that must be equal.
 WINDOW = 15
@@ -90,21 +90,24 @@ class Seeds:
 
 
 def passes(bench, id_col, text, words=None):
-    """Broadcasts of the benchmark items, each of at most ``PASS_WORDS`` words and one item; items are read as a stream."""
+    """Seeds of the benchmark items, each of at most ``PASS_WORDS`` words and one item; items are read as a stream.
+
+    They travel with the task function, which Spark broadcasts.
+    """
     words = words or PASS_WORDS
-    context = bench.sparkSession.sparkContext
     held, size = [], 0
     for row in bench.select(id_col, text).toLocalIterator():
         hashes = word_hashes(words_of(row[1]))
         if len(hashes) < LEAST_WORDS:
             continue
         if held and size + len(hashes) > words:
-            yield context.broadcast(Seeds(held))
+            yield Seeds(held)
             held, size = [], 0
         held.append((row[0], hashes))
         size += len(hashes)
+    forget_words()
     if held:
-        yield context.broadcast(Seeds(held))
+        yield Seeds(held)
 
 
 def find_overlaps(docs, bench, id_col="doc_id", text="text", item_id="item_id", item_text="text"):
@@ -123,10 +126,9 @@ def find_overlaps(docs, bench, id_col="doc_id", text="text", item_id="item_id",
 
     def finder(table):
         def run(batches):
-            seeds_here = table.value
             for batch in batches:
                 rows = [(i, key, *o) for i, t in enumerate(batch.column(1).to_pylist())
-                        for key, o in seeds_here.overlaps(word_hashes(words_of(t))).items()]
+                        for key, o in table.overlaps(word_hashes(words_of(t))).items()]
                 if rows:
                     at, items, equal, start, item_start, n = (list(x) for x in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -149,9 +151,8 @@ def decontaminate(docs, bench, text="text", item_id="item_id", item_text="text")
 
     def keeper(table):
         def run(batches):
-            seeds_here = table.value
             for batch in batches:
-                clean = [not seeds_here.overlaps(word_hashes(words_of(t))) for t in batch.column(at).to_pylist()]
+                clean = [not table.overlaps(word_hashes(words_of(t))) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
         return run
 

@@ -249,7 +249,7 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
     docs = docs.drop("ids", "n_tokens")
     common = common_words(docs, vocabulary, text)
     known = docs.sparkSession.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in common.toLocalIterator()})
-    long_words = docs.sparkSession.sparkContext.broadcast(LongWords(vocabulary))
+    others = LongWords(vocabulary)
     keys = docs.withColumns({"_key": F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))})
     rare = (keys.select("_key", F.explode(F.array_distinct(units_of(F.col(text)))).alias("word")).where(F.length("word") <= LONGEST)
             .join(F.broadcast(common.select("word")), "word", "left_anti")
@@ -258,7 +258,7 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
             .groupBy("_key").agg(F.collect_list("_pair").alias("_pairs")))
 
     def whole(texts: pd.Series, words: pd.Series, codes: pd.Series) -> pd.Series:
-        table, others, out = known.value, long_words.value, []
+        table, out = known.value, []
         for t, w, c in zip(texts, words, codes, strict=True):
             own = dict(zip(w, c, strict=True)) if w is not None else {}
             units = UNIT.findall(MARK + t.replace(" ", MARK)) if t else []

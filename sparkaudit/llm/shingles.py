@@ -11,6 +11,11 @@ MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) *
 _known: dict[str, int] = {}
 
 
+def forget_words():
+    """Empties the memory of words, so that it doesn't travel with task functions."""
+    _known.clear()
+
+
 def words_of(text):
     """Runs of letters, digits and underscores in lower case."""
     return WORD.findall(text.lower()) if text else []
