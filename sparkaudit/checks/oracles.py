@@ -176,7 +176,10 @@ pmr AS (SELECT t.* FROM t SEMI JOIN pm USING ({names(LEGACY_HOME_KEY)}))"""
 
 
 def mixes(rows, key):
-    return (f"SELECT count(*) AS records, string_agg(status, ' + ' ORDER BY status) AS mix FROM {rows} GROUP BY {names(key)}")
+    per_status = f"SELECT {names(key)}, status AS member, count(*) AS n FROM {rows} GROUP BY ALL"
+    written = "CASE WHEN n = 1 THEN member ELSE member || ' x ' || n END"
+    return (f"SELECT CAST(sum(n) AS BIGINT) AS records, string_agg({written}, ' + ' ORDER BY member) AS mix "
+            f"FROM ({per_status}) GROUP BY {names(key)}")
 
 
 LIFECYCLE = f"""{SAME_PRICE}, pairs AS (SELECT *, date_diff('day', for_sale, sold) / 365.25 AS years FROM (
@@ -432,7 +435,7 @@ ORACLES = {
     "invalid_dates": f"{base()} SELECT rid, prev_sold_date FROM t WHERE {INVALID}",
     "listing_duplicates": f"{base()}, {DUPLICATES} SELECT rid FROM dups",
     "duplicate_key_sizes": f"""{base()} SELECT n AS group_size, count(*) AS keys, CAST(n * count(*) AS BIGINT) AS records,
-      CAST(count(*) * n * (n - 1) / 2 AS BIGINT) AS candidate_pairs
+      CAST(count(*) * n * (n - 1) / 2 AS DECIMAL(38, 0)) AS candidate_pairs
       FROM (SELECT count(*) AS n FROM t WHERE {present(LISTING_KEY)} GROUP BY {names(LISTING_KEY)}) GROUP BY n""",
     "multi_key_records": f"""{base()} SELECT rid FROM (SELECT rid, count(*) OVER (PARTITION BY {names(LISTING_KEY)}) AS n FROM t
       WHERE {present(LISTING_KEY)}) WHERE n > 1""",

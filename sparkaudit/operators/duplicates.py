@@ -57,10 +57,16 @@ def multi_key_records(df, key=LISTING_KEY):
 def key_sizes(df, key):
     """How many keys hold n records, and the candidate pairs in them (a count; no pair is formed)."""
     n = F.col("group_size")
+
+    def whole(x):
+        return x.cast("bigint").cast("decimal(19,0)")
+
     return (df.where(all_present(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"))
             .groupBy("group_size").agg(F.count(F.lit(1)).alias("keys"))
             .select("group_size", "keys", (n * F.col("keys")).alias("records"),
-                    (F.col("keys") * n * (n - 1) / 2).cast("bigint").alias("candidate_pairs")))
+                    # of n and n - 1 the even one is halved, so every step is a whole number
+                    (F.when(n % 2 == 0, whole(n / 2) * whole(n - 1)).otherwise(whole(n) * whole((n - 1) / 2)) * whole(F.col("keys")))
+                    .cast("decimal(38,0)").alias("candidate_pairs")))
 
 
 def duplicates(df, key=LISTING_KEY, compared=COMPARED, price="price", tolerance=PRICE_TOLERANCE, rid=RID):

@@ -11,8 +11,6 @@ from .scale import attach, beside, group_quantiles, running_totals, value_counts
 
 PAIR = "for_sale + sold"
 DAY = "prev_sold_date"
-# Longest status mix that is written out member by member; a longer one is written as counts.
-MIX_MEMBERS = 1000
 
 
 def headline_share(df):
@@ -39,18 +37,16 @@ def missing_by_status(df):
 def group_mixes(df, key):
     """Per key (missing equals missing): number of records and the sorted statuses of its members, joined by ' + '.
 
-    Members are counted per status before a group comes together, so a group is a handful of rows here. A mix of
-    more than a thousand members is written as 'status x count'.
+    Members are counted per status before a group comes together, so a group is a handful of rows here. A status held
+    by several members is written once, as 'status x count', in groups of every size.
     """
     per_status = df.groupBy(*key, "status").agg(F.count(F.lit(1)).alias("_n")) if "status" not in key else \
         df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     members = F.sort_array(F.collect_list(F.struct("status", "_n")))
     grouped = per_status.groupBy(*key).agg(F.sum("_n").alias("records"), members.alias("_members"))
-    written = F.array_join(F.flatten(F.transform("_members", lambda m: F.array_repeat(m["status"], m["_n"].cast("int")))),
-                           " + ")
-    counted = F.array_join(F.transform("_members", lambda m: F.concat(m["status"], F.lit(" x "), m["_n"].cast("string"))),
-                           " + ")
-    return grouped.withColumn("mix", F.when(F.col("records") <= MIX_MEMBERS, written).otherwise(counted)).drop("_members")
+    written = F.transform("_members", lambda m: F.when(m["_n"] == 1, m["status"])
+                          .otherwise(F.concat(m["status"], F.lit(" x "), m["_n"].cast("string"))))
+    return grouped.withColumn("mix", F.array_join(written, " + ")).drop("_members")
 
 
 def status_mix(df, key):

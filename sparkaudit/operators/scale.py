@@ -120,8 +120,9 @@ def quantiles_by_cells(counts, keys, probs, value, weight, names):
         picks.append(F.max(F.when(covers(F.col("_first"), F.col("_end"), low), F.col("_v"))).alias(f"_low_{name}"))
         picks.append(F.max(F.when(covers(F.col("_first"), F.col("_end"), high), F.col("_v"))).alias(f"_high_{name}"))
         low_v, high_v = F.col(f"_low_{name}"), F.col(f"_high_{name}")
-        out.append(F.when(low_v == high_v, low_v)
-                   .otherwise(low_v + (high_v - low_v) * (position - low)).alias(name))
+        # the same sum as Spark's ``percentile``, so that both ways agree to the last bit
+        out.append(F.when((low == high) | (low_v == high_v), low_v)
+                   .otherwise((high - position) * low_v + (position - low) * high_v).alias(name))
     return ranked.groupBy(*keys).agg(*picks).select(*keys, F.col("_total").alias("n"), *out)
 
 
