@@ -5,7 +5,7 @@ from ..plans.validation import FLOORED, ROBUST
 from ..schema import (COMPARED, LEGACY_HOME_KEY, LEGACY_PLACEHOLDERS, LEGACY_PROPERTY_KEY, LISTING_COLUMNS, LISTING_KEY,
                       LISTING_TYPES, MODEL_FEATURES, PROPERTY_KEY, SENTINEL_DATES, STATUSES)
 from .queries import BASELINES, FOLDS, SEED, SEEDS, SHARES, SPEC
-from .tables import LABELS, LISTINGS, RAW, RECENT
+from .tables import LABELS, LISTINGS, QUOTED, RAW, RECENT
 
 
 def names(columns, prefix=""):
@@ -418,7 +418,9 @@ STAGES = ["plant_sentinel_dates", "plant_year_plus_1000", "plant_transposed_year
           "plant_blanked_duplicates", "plant_repriced_duplicates"]
 
 ORACLES = {
-    "scan_listings": LISTINGS,
+    "scan_listings": f"""WITH listings AS ({LISTINGS}), q AS ({QUOTED})
+      SELECT row_number() OVER (ORDER BY rid) - 1 AS rid, {', '.join(
+        f'TRY_CAST({c} AS DOUBLE) AS {c}' if kind == 'double' else c for c, kind in LISTING_TYPES.items())} FROM q""",
     "parsed_listings": raw_checks() + "SELECT " + ", ".join(
         f"TRY_CAST({c} AS DOUBLE) AS {c}" for c in ("price", "bed", "house_size", "zip_code")) + " FROM t",
     "replace_partition_results": f"""WITH listings AS ({LISTINGS}), recent AS ({RECENT}),

@@ -1,4 +1,5 @@
 """Every operator as a query over a folder of tables."""
+import uuid
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -11,10 +12,10 @@ from ..operators.scale import attach
 from ..plans import audit, validation
 from ..plans import leakage as leakage_plan
 from ..schema import LISTING_KEY, MODEL_FEATURES, RID
-from ..session import materialise
+from ..session import checkpoint_dir, materialise
 from ..sources import sinks
-from ..sources.listings import cast_listings, listings_from_orders, normalise
-from .tables import LABELS_SQL, RAW_SQL, RECENT_SQL
+from ..sources.listings import cast_listings, listings_from_orders, normalise, read_raw_csv, with_row_ids
+from .tables import LABELS_SQL, QUOTED_SQL, RAW_SQL, RECENT_SQL
 
 SPEC = plant.Spec(sentinel_dates=60, typo_years=40, exact_duplicates=30, near_duplicates=40,
                   price_factors={10: 15, 100: 15, 1000: 15, 0.001: 15})
@@ -113,7 +114,12 @@ def isolation_forest(spark, folder):
 # --- sources, sinks, contract --------------------------------------------------------------------------------------
 
 def scan_listings(spark, folder):
-    return listings(spark, folder)
+    """The listings written as several CSV files in the order of their keys, and read back with ids in file order."""
+    path = f"{checkpoint_dir(spark)}/csv/{uuid.uuid4().hex}"
+    text = spark.sql(QUOTED_SQL, listings=listings(spark, folder))
+    (text.repartitionByRange(3, RID).sortWithinPartitions(RID).drop(RID).write.option("header", True)
+     .option("escape", '"').csv(path))
+    return cast_listings(with_row_ids(read_raw_csv(spark, path)))
 
 
 def parsed_listings(spark, folder):

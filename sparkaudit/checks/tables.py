@@ -39,7 +39,21 @@ SELECT CAST(brokered_by AS STRING) AS brokered_by,
 FROM {listings}
 """
 
+# Listings as text with quotes, backslashes and line breaks inside fields and texts that look like numbers but are none.
+QUOTED_SQL = """
+SELECT rid, CAST(brokered_by AS STRING) AS brokered_by, status,
+  CASE WHEN rid % 13 = 4 THEN '12d' ELSE CAST(price AS STRING) END AS price,
+  CASE WHEN rid % 17 = 5 THEN '7f' ELSE CAST(bed AS STRING) END AS bed, CAST(bath AS STRING) AS bath,
+  CAST(acre_lot AS STRING) AS acre_lot, CAST(street AS STRING) AS street,
+  CASE WHEN rid % 7 = 1 THEN chr(34) || city || chr(34) || 'Fallon, ' || chr(34)
+       WHEN rid % 7 = 2 THEN city || chr(92)
+       WHEN rid % 7 = 3 THEN city || chr(10) || 'Bay' ELSE city END AS city,
+  state, CAST(zip_code AS STRING) AS zip_code, CAST(house_size AS STRING) AS house_size, prev_sold_date
+FROM {listings}
+"""
+
 LISTINGS = LISTINGS_SQL.format(orders="orders")
 RECENT = RECENT_SQL.format(listings="listings")
 LABELS = LABELS_SQL.format(orders="orders")
 RAW = RAW_SQL.format(listings="listings")
+QUOTED = QUOTED_SQL.format(listings="listings")

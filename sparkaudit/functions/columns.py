@@ -18,6 +18,16 @@ def parse_date(text):
     return F.when(day_or_null(text).between(first, last), text.try_cast("date"))
 
 
+# Decimal numbers with an optional exponent, and the names of the special values. The cast alone would also take
+# texts like '12d' or '7f'.
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*(nan|[+-]?inf(inity)?)\s*$"
+
+
+def number_or_null(text):
+    """A text as a double; missing when it is no number."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def not_nan(column):
     return F.when(~F.isnan(column), column)
 

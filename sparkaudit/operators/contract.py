@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..schema import DATE_PATTERN, LISTING_COLUMNS, LISTING_TYPES, RID, STATUSES
-from ..sources.listings import cast_listings
+from ..sources.listings import as_listing_type, cast_listings
 
 ROW = "(row)"
 
@@ -29,7 +29,7 @@ def _ordered(report):
 
 def coercion_checks(columns):
     """A value that is present as given and missing after the cast to its declared type."""
-    return [(c, "coerce_dtype('float64')", F.col(c).isNotNull() & F.col(c).try_cast("double").isNull())
+    return [(c, "coerce_dtype('float64')", F.col(c).isNotNull() & as_listing_type(F.col(c), c).isNull())
             for c in columns if LISTING_TYPES[c] == "double"]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.columns import hash60
+from ..functions.columns import hash60, unit
 from ..schema import RID
 from ..session import materialise
 from .robust import GROUP, attach_stats, price_groups, price_measures, price_stats
@@ -79,14 +79,17 @@ def build_tree(tree, x, seed):
     return nodes
 
 
-def fit(df, columns, seed=0, trees=TREES, sample=SAMPLE):
+def fit(df, columns, seed=0, trees=TREES, sample=SAMPLE, pool=None):
     """The forest as a small table of nodes.
 
-    The pool is the records with the smallest hashes, as many as all trees take together; each tree draws its own
-    records from the pool without replacement.
+    The pool is the ``pool`` records with the smallest hashes (as many as all trees take together, if not given); each
+    tree draws its own records from the pool without replacement. A cutoff of the hash leaves little more than the pool,
+    so only that many records are ever put in order.
     """
-    pool = materialise(df.select(RID, F.array(*[F.col(c) for c in columns]).alias("x"), hash60("forest", seed, F.col(RID)).alias("u"))
-                       .orderBy("u").limit(trees * sample).select(RID, "x"))
+    pool_size = pool or trees * sample
+    share = min(1.0, (pool_size + 10 * pool_size ** 0.5 + 100) / max(df.count(), 1))
+    hashed = df.select(RID, F.array(*[F.col(c) for c in columns]).alias("x"), hash60("forest", seed, F.col(RID)).alias("u"))
+    pool = materialise(hashed.where(unit(F.col("u")) <= share).orderBy("u").limit(pool_size).select(RID, "x"))
 
     drawn = (pool.select(RID, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
              .withColumn("_rank", F.row_number().over(

@@ -23,6 +23,7 @@ REPRICE_LOW, REPRICE_HIGH, REPRICE_MIN_PRICE = 0.001, 0.005, 1000
 @dataclass(frozen=True)
 class Spec:
     """How many errors of each kind to plant."""
+    # The sizes of the experiments.
     sentinel_dates: int = 3000
     typo_years: int = 3000
     exact_duplicates: int = 2000

@@ -12,7 +12,7 @@ from ..session import materialise, stored_rows
 
 # Rows of a key-value table that may be broadcast. About 10 MB at 100 bytes a row.
 BROADCAST_ROWS = 100_000
-# Keys whose rows are matched without a shuffle: any key with more than 1/1000 of all rows is among the 1000 heaviest.
+# Keys whose rows are matched without a shuffle: those with more than 1/1000 of all rows, so fewer than 1000.
 HEAVY_KEYS = 1_000
 # Value-count rows of a whole table that one task could hold, should they all belong to one group.
 DIRECT_VALUES = 4_000_000
@@ -25,17 +25,17 @@ def attach(rows, stats, keys, weight, how="inner", stored=False):
     """Add the columns of ``stats`` (one row per key, keys never missing) to the rows of each key.
 
     ``weight`` names a column of ``stats`` that grows with the key's number of rows. ``stats`` is stored unless it
-    already is, and broadcast when it has at most ``BROADCAST_ROWS`` rows. Beyond that the heaviest keys, at most
-    ``HEAVY_KEYS`` rows, are broadcast; their rows pass the shuffle join scattered over all partitions instead of
-    meeting in one.
+    already is, and broadcast when it has at most ``BROADCAST_ROWS`` rows. Beyond that the keys with more than a
+    ``HEAVY_KEYS``-th of the whole weight, fewer than ``HEAVY_KEYS``, are broadcast; their rows pass the shuffle join
+    scattered over all partitions instead of meeting in one.
     """
     extra = [c for c in stats.columns if c not in keys]
     stats = stats if stored else materialise(stats)
     if stored_rows(stats) <= BROADCAST_ROWS:
         return rows.join(F.broadcast(stats), keys, how).select(*rows.columns, *extra)
     packed = stats.select(*keys, F.col(weight).alias("_weight"), F.struct(*extra).alias("_stat"))
-    heavy = (packed.orderBy(F.desc("_weight")).limit(HEAVY_KEYS)
-             .select(*keys, F.col("_stat").alias("_heavy")))
+    total = packed.agg(F.sum("_weight")).scalar()
+    heavy = packed.where(F.col("_weight") * HEAVY_KEYS > total).select(*keys, F.col("_stat").alias("_heavy"))
     light = packed.select(*keys, F.lit(0).alias("_spread"), F.col("_stat").alias("_light"))
     scattered = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int") + 1
     marked = rows.join(F.broadcast(heavy), keys, "left").withColumn(
@@ -152,17 +152,13 @@ def running_totals(df, value, sums, descending=False):
             .select(*df.columns, *[(F.col(f"_before_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sums]))
 
 
-def kth_smallest(df, column, k, bits=60, direct=1_000_000):
+def kth_smallest(df, column, k, bits=60):
     """The ``k``-th smallest value of a non-negative integer column as a Python int; None when there are fewer.
 
-    A moderate ``k`` is a top-k (each task keeps ``k`` values). A larger one descends 12 bits at a time through
-    counts of at most 4096 prefixes.
+    Descends 12 bits at a time through counts of at most 4096 prefixes: no task gathers values.
     """
     if k <= 0:
         return -1
-    if k <= direct:
-        row = df.select(column).orderBy(column).limit(k).agg(F.count(F.lit(1)), F.max(column)).first()
-        return row[1] if row[0] == k else None
     prefix, remaining = 0, k
     for shift in range(bits - 12, -1, -12):
         counts = (df.where(F.shiftright(column, shift + 12) == F.lit(prefix))

@@ -13,6 +13,7 @@ from ..operators.robust import is_price_outlier, price_robust_z
 from ..schema import RID
 from ..session import materialise
 
+# Names and meanings of the flags and the columns of the report.
 FLAGS = {
     "invalid_date": "prev_sold_date is unparseable, a known sentinel, or outside 1900-01-02 .. 2026-12-31",
     "listing_duplicate": "same address, broker and status as another record, with compatible attributes",

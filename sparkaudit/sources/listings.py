@@ -1,8 +1,10 @@
 """Reading listings: a raw CSV, a Parquet table, or the listings derived from the order tables."""
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import not_nan
+from ..functions.columns import not_nan, number_or_null
+from ..operators.scale import attach
 from ..schema import LISTING_COLUMNS, LISTING_TYPES, NULL_TOKENS, RID
 
 # Listings derived from ``orders``, with defects of every family at known keys. Plain SQL that runs on any engine.
@@ -56,30 +58,56 @@ def normalise(df):
                        for c in df.columns])
 
 
-def read_raw_csv(spark, path):
+def has_quoted_line_breaks(spark, path):
+    """Whether some line has an odd number of quotes, so that a quoted field goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_raw_csv(spark, path, line_breaks=None):
     """Every column as text, with the texts that stand for a missing value nulled. Checks come later.
 
-    The header names the columns, so missing or extra ones stay visible to the contract.
+    The header names the columns, so missing or extra ones stay visible to the contract. Quotes inside a quoted field
+    are doubled; a backslash is an ordinary character. A file with line breaks inside quotes is read whole by one task,
+    any other is split; ``line_breaks`` says which, and without it the lines are looked through first. A row that does
+    not have the header's columns is an error, never a shifted or shortened record.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    whole = has_quoted_line_breaks(spark, path) if line_breaks is None else line_breaks
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
+           .option("multiLine", whole).option("mode", "FAILFAST").csv(path))
     return raw.select(*[F.when(~F.col(f"`{c}`").isin(NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
+def as_listing_type(column, name):
+    """A column cast to the type that the listing column ``name`` has; a text that is no number becomes missing."""
+    kind = LISTING_TYPES[name]
+    return number_or_null(column.cast("string")) if kind == "double" else column.try_cast(kind)
+
+
 def cast_listings(raw):
     """Text columns cast to the listing types; a text that is no number becomes missing."""
+    kinds = dict(raw.dtypes)
     return normalise(raw.select(*[c for c in raw.columns if c not in LISTING_TYPES],
-                                *[F.col(c).try_cast(LISTING_TYPES[c]).alias(c) for c in LISTING_COLUMNS]))
+                                *[F.col(c).alias(c) if kinds[c] == LISTING_TYPES[c] else as_listing_type(F.col(c), c).alias(c)
+                                  for c in LISTING_COLUMNS]))
 
 
 def with_row_ids(df, name=RID):
     """File-order record ids 0, 1, 2, ... for a freshly scanned table; store the result so that they never change.
 
-    Position within the scan partition plus the sizes of the partitions before it: one count per partition.
+    Files count in the order of their paths, parts of a file by where they begin, records by their place in the part:
+    Spark deals parts out to tasks by size. Ids are the place in the part plus the sizes of the parts before it, one
+    count per part. A table that was not read from files counts in the order of its partitions.
     """
-    placed = df.select(F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_mono"), *df.columns)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = (df.select(F.spark_partition_id().alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-              .select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_start")))
-    # one row per scan partition, so small whatever the table's size
-    return (placed.join(F.broadcast(starts), "_part")
-            .select((F.col("_start") + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))).alias(name), *df.columns))
+    try:
+        part = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                         F.monotonically_increasing_id().alias("_mono"), *df.columns)
+    except AnalysisException:
+        part = df.select(F.lit("").alias("_file"), F.spark_partition_id().cast("bigint").alias("_block"),
+                         F.monotonically_increasing_id().alias("_mono"), *df.columns)
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row per part of a file: small beside the table, and its size is checked before it is broadcast
+    starts = (part.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
+              .select("_file", "_block", "_n", (F.sum("_n").over(before) - F.col("_n") - F.col("_first")).alias("_shift")))
+    return (attach(part, starts, ["_file", "_block"], "_n")
+            .select((F.col("_shift") + F.col("_mono")).alias(name), *df.columns))
