@@ -18,62 +18,80 @@ K = 5
 SHARD, BLOCK = 8192, 1024
 # Rows of the first look, whose k-th scores all shards share. The answer does not depend on it.
 FIRST_LOOK = 4096
-LEAF = 32
+LEAF = 256
 
 
-def build(x, ids):
-    """Ball tree over the rows of ``x``: split at the median along the direction of the two far ends of a node.
+class BallTree:
+    """Nodes in arrays: centre, radius, smallest id, and the two children of a node or the place of a leaf's rows.
 
-    A node is (centre, radius, smallest id, rows or None, children or None).
+    A node is split at the median along the direction between two far ends of it.
     """
-    def node(rows):
-        centre = x[rows].mean(axis=0)
-        away = ((x[rows] - centre) ** 2).sum(axis=1)
-        ball = (centre, float(np.sqrt(away.max())), int(ids[rows].min()))
-        if len(rows) <= LEAF:
-            return (*ball, rows, None)
-        far = x[rows[away.argmax()]]
-        other = x[rows[((x[rows] - far) ** 2).sum(axis=1).argmax()]]
-        order = rows[np.argsort(x[rows] @ (far - other), kind="stable")]
-        half = len(order) // 2
-        return (*ball, None, (node(order[:half]), node(order[half:])))
-    return node(np.arange(len(x)))
-
-
-def search(root, x, ids, query, own, k, floor):
-    """The best ``k`` rows for one query as (score, -id), at least ``floor``; rows with id ``own`` are left out."""
-    length = float(np.sqrt(query @ query))
-    best = []
-    order = 0
-
-    def bound(node):
-        # scores are whole numbers, so the bound may be cut to one after a margin for rounding
-        return int(np.floor(query @ node[0] + length * node[1] + 1e-6 * (1 + length * (node[1] + 1))))
-
-    queue = [(-bound(root), root[2], order, root)]
-    while queue:
-        top, smallest, _, node = heapq.heappop(queue)
-        if -top < floor:
-            break
-        if len(best) == k and (-top, -smallest) < best[0]:
-            continue
-        if node[4]:
-            for child in node[4]:
-                order += 1
-                heapq.heappush(queue, (-bound(child), child[2], order, child))
-            continue
-        scores = x[node[3]] @ query
-        for i in np.flatnonzero(scores >= floor):
-            found = (int(scores[i]), -int(ids[node[3][i]]))
-            if -found[1] == own:
+
+    def __init__(self, x, ids):
+        placed, leaves = 0, []
+        centres, self.radius, self.smallest, self.below = [], [], [], []
+        todo = [(np.arange(len(x)), None, 0)]
+        while todo:
+            rows, parent, side = todo.pop()
+            if parent is not None:
+                self.below[parent][side] = len(centres)
+            part = x[rows]
+            centre = part.mean(axis=0)
+            away = ((part - centre) ** 2).sum(axis=1)
+            centres.append(centre)
+            self.radius.append(np.sqrt(away.max()))
+            self.smallest.append(int(ids[rows].min()))
+            if len(rows) <= LEAF:
+                self.below.append(slice(placed, placed + len(rows)))
+                leaves.append(rows)
+                placed += len(rows)
+                continue
+            far = part[away.argmax()]
+            other = part[((part - far) ** 2).sum(axis=1).argmax()]
+            order = rows[np.argsort(part @ (far - other), kind="stable")]
+            self.below.append([0, 0])
+            half = len(order) // 2
+            todo += [(order[:half], len(centres) - 1, 0), (order[half:], len(centres) - 1, 1)]
+        self.centres, self.radius = np.stack(centres), np.array(self.radius)
+        # leaf by leaf, so that the rows of a leaf lie together
+        order = np.concatenate(leaves)
+        self.x, self.ids = np.ascontiguousarray(x[order]), ids[order]
+
+    def search(self, query, own, k, floor):
+        """The best ``k`` rows for one query as (score, -id), at least ``floor``; rows with id ``own`` are left out.
+
+        Nodes wait in the order of their upper bounds; scores are whole numbers, so a bound is cut to one after a margin
+        for rounding. At equal bounds the node with the smallest id comes first.
+        """
+        length = np.sqrt(query @ query)
+        bounds = self.centres @ query + length * self.radius
+        bounds = np.floor(bounds + 1e-6 * (1 + length * (self.radius + 1))).tolist()
+        best = []
+        queue = [(-bounds[0], self.smallest[0], 0)]
+        while queue:
+            top, smallest, node = heapq.heappop(queue)
+            if -top < floor:
+                break
+            if len(best) == k and (-top, -smallest) < best[0]:
+                continue
+            below = self.below[node]
+            if isinstance(below, list):
+                for child in below:
+                    if bounds[child] >= floor:
+                        heapq.heappush(queue, (-bounds[child], self.smallest[child], child))
                 continue
-            if len(best) < k:
-                heapq.heappush(best, found)
-            elif found > best[0]:
-                heapq.heapreplace(best, found)
-        if len(best) == k:
-            floor = max(floor, best[0][0])
-    return best
+            scores = self.x[below] @ query
+            for i in np.flatnonzero(scores >= floor):
+                found = (int(scores[i]), -int(self.ids[below.start + i]))
+                if -found[1] == own:
+                    continue
+                if len(best) < k:
+                    heapq.heappush(best, found)
+                elif found > best[0]:
+                    heapq.heapreplace(best, found)
+            if len(best) == k:
+                floor = max(floor, best[0][0])
+        return best
 
 
 def _searched(k):
@@ -82,9 +100,9 @@ def _searched(k):
         if rows.empty or queries.empty:
             return none
         x, ids = np.stack(rows["_v"].to_numpy()).astype(np.float64), rows["_id"].to_numpy()
-        root = build(x, ids)
+        tree = BallTree(x, ids)
         found = [(q, -b[1], b[0]) for q, v, low in zip(queries["_id"], queries["_v"], queries["_floor"], strict=True)
-                 for b in search(root, x, ids, np.asarray(v, dtype=np.float64), q, k, low)]
+                 for b in tree.search(np.asarray(v, dtype=np.float64), q, k, low)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64") if found else none
     return run
 
