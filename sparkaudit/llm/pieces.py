@@ -11,6 +11,7 @@ size; all others are encoded where they meet by word and sent back to their docu
 """
 import heapq
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -240,6 +241,10 @@ def common_words(docs, vocabulary, text):
     return materialise(encode_words(chosen.select("word").repartition("word"), vocabulary))
 
 
+def _packed(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else zlib.compress(t.encode(), 1) for t in texts], dtype=object)
+
+
 def encode(docs, vocabulary, id_col="doc_id", text="text"):
     """``docs`` with ``ids`` (array of int) of the whole ``text`` and ``n_tokens``; columns of these names are replaced.
 
@@ -250,26 +255,32 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
     common = common_words(docs, vocabulary, text)
     known = docs.sparkSession.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in common.toLocalIterator()})
     others = LongWords(vocabulary)
-    keys = docs.withColumns({"_key": F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))})
+    # documents with the same key share their rare words, which changes no encoding
+    keys = docs.withColumn("_key", F.xxhash64(id_col, text))
     rare = (keys.select("_key", F.explode(F.array_distinct(units_of(F.col(text)))).alias("word")).where(F.length("word") <= LONGEST)
             .join(F.broadcast(common.select("word")), "word", "left_anti")
             .groupBy("word").agg(F.collect_list("_key").alias("keys")))
     sent = (encode_words(rare, vocabulary, "keys").select(F.explode("keys").alias("_key"), F.struct("word", "ids").alias("_pair"))
             .groupBy("_key").agg(F.collect_list("_pair").alias("_pairs")))
 
-    def whole(texts: pd.Series, words: pd.Series, codes: pd.Series) -> pd.Series:
-        table, out = known.value, []
-        for t, w, c in zip(texts, words, codes, strict=True):
+    def whole(texts: pd.Series, words: pd.Series, codes: pd.Series) -> pd.DataFrame:
+        table, plain, out = known.value, [], []
+        for packed, w, c in zip(texts, words, codes, strict=True):
+            t = zlib.decompress(packed).decode() if packed is not None else None
             own = dict(zip(w, c, strict=True)) if w is not None else {}
             units = UNIT.findall(MARK + t.replace(" ", MARK)) if t else []
             code = b"".join([table.get(u) or own.get(u) or others.encode(u) for u in units])
+            plain.append(t)
             out.append(np.frombuffer(code, dtype=">i4").astype(np.int32))
-        return pd.Series(out, dtype=object)
+        return pd.DataFrame({"text": pd.Series(plain, dtype=object), "ids": pd.Series(out, dtype=object)})
 
-    joined = keys.join(sent, "_key", "left")
+    # the text is shuffled once, to meet its rare words, and packed for that
+    joined = keys.withColumn("_packed", F.pandas_udf(_packed, "binary")(F.col(text))).drop(text).join(sent, "_key", "left")
     part = lambda name: F.transform("_pairs", lambda p: p[name])
-    ids = F.pandas_udf(whole, "array<int>")(F.col(text), part("word"), part("ids"))
-    return joined.withColumn("ids", ids).withColumn("n_tokens", F.size("ids").cast("bigint")).select(*docs.columns, "ids", "n_tokens")
+    both = F.pandas_udf(whole, "text string, ids array<int>")(F.col("_packed"), part("word"), part("ids"))
+    joined = joined.withColumn("_whole", both)
+    columns = [F.col("_whole.text").alias(c) if c == text else F.col(c) for c in docs.columns]
+    return joined.select(*columns, F.col("_whole.ids").alias("ids"), F.size("_whole.ids").cast("bigint").alias("n_tokens"))
 
 
 def decode(docs, vocabulary, ids="ids", text="text"):
