@@ -16,6 +16,8 @@ FAMILIES = {
 }
 # Training documents of each language, at most (a sample by hash).
 PER_LANGUAGE = 2000
+# Places that tokens are hashed to, and steps of each fit.
+FEATURES, ITERATIONS = 1 << 14, 15
 UNKNOWN = "und"
 
 
@@ -45,13 +47,13 @@ class LanguageModel:
         self.family, self.pairs = None, {}
         if len(self.languages) < 2:
             return
-        sample = materialise(with_features(chosen, language_tokens(F.col("_text"))).select("_x", "_lang", number[F.col("_lang")].alias("_family")))
+        sample = materialise(with_features(chosen, language_tokens(F.col("_text")), FEATURES).select("_x", "_lang", number[F.col("_lang")].alias("_family")))
         if len(self.families) > 1:
-            self.family = fit_classes(sample, "_family")
+            self.family = fit_classes(sample, "_family", ITERATIONS)
         for members in self.families:
             for a, b in combinations(members, 2):
                 two = sample.where(F.col("_lang").isin(a, b)).withColumn("_first", (F.col("_lang") == a).cast("double"))
-                self.pairs[a, b] = fit_margin(two, "_first")
+                self.pairs[a, b] = fit_margin(two, "_first", ITERATIONS)
 
     def predict(self, docs, text="text"):
         """``docs`` with ``lang_pred`` and ``score`` (0 to 1); columns of these names are replaced.
@@ -64,7 +66,7 @@ class LanguageModel:
         none = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
         if not self.languages:
             return docs.select(*columns, none["lang"].alias("lang_pred"), none["score"].alias("score"))
-        scored = with_features(docs, language_tokens(F.col(text)))
+        scored = with_features(docs, language_tokens(F.col(text)), FEATURES)
         if self.family:
             scored = self.family(scored, "_family")
         for i, ((_, _), model) in enumerate(self.pairs.items()):

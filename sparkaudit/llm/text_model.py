@@ -24,9 +24,9 @@ def ends(words, n=3):
     return F.array_distinct(F.concat(first, last))
 
 
-def with_features(docs, tokens):
-    """Adds ``_x``: the hashed set of tokens as a vector of length one."""
-    hashed = HashingTF(inputCol="_tokens", outputCol="_raw", numFeatures=FEATURES, binary=True).transform(docs.withColumn("_tokens", tokens))
+def with_features(docs, tokens, size=FEATURES):
+    """Adds ``_x``: the set of tokens hashed to ``size`` places, as a vector of length one."""
+    hashed = HashingTF(inputCol="_tokens", outputCol="_raw", numFeatures=size, binary=True).transform(docs.withColumn("_tokens", tokens))
     return Normalizer(inputCol="_raw", outputCol="_x").transform(hashed).drop("_tokens", "_raw")
 
 
