@@ -113,7 +113,7 @@ def cutoffs(df, plan, seed):
         near = materialise(hashed.where(F.col("u") < threshold).drop(RID))
         found, free = [], F.lit(True)
         for i, stage in enumerate(plan):
-            cutoff = kth_smallest(near.where(free & F.col(f"e{i}")), "u", stage.n)
+            cutoff = kth_smallest(near.where(free & F.col(f"e{i}")), "u", stage.n, bounded=attempt < 1)
             if cutoff is None:
                 break
             found.append(cutoff)

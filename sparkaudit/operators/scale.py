@@ -152,13 +152,17 @@ def running_totals(df, value, sums, descending=False):
             .select(*df.columns, *[(F.col(f"_before_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sums]))
 
 
-def kth_smallest(df, column, k, bits=60):
+def kth_smallest(df, column, k, bits=60, bounded=False):
     """The ``k``-th smallest value of a non-negative integer column as a Python int; None when there are fewer.
 
-    Descends 12 bits at a time through counts of at most 4096 prefixes: no task gathers values.
+    Descends 12 bits at a time through counts of at most 4096 prefixes: no task gathers values. ``bounded`` says that
+    the caller has cut the table down to little more than ``k`` rows, which may then be put in order at once.
     """
     if k <= 0:
         return -1
+    if bounded:
+        row = df.select(column).orderBy(column).limit(k).agg(F.count(F.lit(1)), F.max(column)).first()
+        return row[1] if row[0] == k else None
     prefix, remaining = 0, k
     for shift in range(bits - 12, -1, -12):
         counts = (df.where(F.shiftright(column, shift + 12) == F.lit(prefix))

@@ -8,9 +8,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from sparkaudit.schema import LISTING_COLUMNS, listing_struct  # noqa: E402
 from sparkaudit.session import build_session  # noqa: E402
 
-HOME = {"brokered_by": 1.0, "status": "for_sale", "price": 300000.0, "bed": 3.0, "bath": 2.0, "acre_lot": 0.2,
-        "street": 10.0, "city": "Austin", "state": "Texas", "zip_code": 78701.0, "house_size": 1500.0,
-        "prev_sold_date": "2015-06-01"}
+HOME = {"brokered_by": 42.0, "status": "for_sale", "price": 480000.0, "bed": 4.0, "bath": 3.0, "acre_lot": 0.75,
+        "street": 907.0, "city": "Reno", "state": "Nevada", "zip_code": 89501.0, "house_size": 2240.0,
+        "prev_sold_date": "2009-11-23"}
 
 
 @pytest.fixture(scope="session")

@@ -11,9 +11,10 @@ from sparkaudit.operators.duplicates import duplicates, key_sizes, mark_duplicat
 from sparkaudit.operators.robust import price_robust_z
 from sparkaudit.schema import COMPARED, LISTING_COLUMNS, LISTING_KEY, listing_struct
 
-BAD = ["1900-01-01", "1970-01-01", "0000-00-00", "unknown", "N/A", "9999-12-31", "3019-04-02", "2051-03-01",
-       " 2015-06-01", "2015-02-30", "20150601", "-2015-06-01"]
-GOOD = ["1901-01-01", "2022-04-15", "2026-04-08", "2015-6-1", None]
+# the sentinels and both ends of the range, other forms of a date, and texts
+BAD = ["1970-01-01", "1900-01-01", "1899-12-31", "2027-01-01", "5202-07-19", "0000-01-00", "2021-13-05", "2019-02-29",
+       "2009-11-23 ", "23-11-2009", "20091123", "+2009-11-23", "n.n.", "soon"]
+GOOD = [None, "1900-01-02", "2026-12-31", "1969-12-31", "2020-02-29", "2009-1-3"]
 
 
 def test_invalid_dates(table):
@@ -22,19 +23,19 @@ def test_invalid_dates(table):
 
 
 def test_older_date_rule_flags_every_missing_date(table):
-    df = table({"prev_sold_date": None}, {}, {"prev_sold_date": "Unknown"}, {"prev_sold_date": "20####"})
-    assert rids(legacy.placeholder_dates(df)) == [0, 2, 3]
+    df = table({}, {"prev_sold_date": "20####"}, {"status": "sold"}, {"prev_sold_date": None}, {"prev_sold_date": "Unknown"})
+    assert rids(legacy.placeholder_dates(df)) == [1, 3, 4]
 
 
-SOLD = {"status": "sold", "prev_sold_date": "2022-04-15"}
+SOLD = {"status": "sold", "prev_sold_date": "2018-05-07"}
 
 
 @pytest.mark.parametrize(("changes", "found", "older"), [
-    ([{}, SOLD], [], [0, 1]),
-    ([{}, {}], [0, 1], []),
-    ([{}, {"house_size": None}, {"street": 11.0}], [0, 1], []),
-    ([{}, {"price": 301000.0}, {"price": 310000.0}], [0, 1], []),
-    ([{"bed": None}, {"bed": None, **SOLD}], [], []),
+    ([SOLD, {"zip_code": 89502.0}, {}], [], [0, 2]),
+    ([{}, {"city": "Elko"}, {}, {}], [0, 2, 3], []),
+    ([{"acre_lot": None}, {"brokered_by": 43.0}, {}], [0, 2], []),
+    ([{"price": 484800.0}, {"price": 495000.0}, {}], [0, 2], []),
+    ([{"house_size": None, **SOLD}, {"house_size": None}], [], []),
     ([{"price": -5.0}, {"price": -5.0}], [], []),
     ([{"price": 0.0}, {"price": 0.0}, {"price": 1.0}], [0, 1], []),
     ([{"street": None}, {"street": None}], [], []),
@@ -47,7 +48,7 @@ def test_row_cases(table, changes, found, older):
 
 
 def test_date_outside_the_clock_range_gives_no_span(table):
-    df = table({}, {"status": "sold", "prev_sold_date": "3019-04-02"})
+    df = table({"status": "sold", "prev_sold_date": "2909-11-23"}, {})
     assert rids(legacy.same_price_different_dates(df)) == []
     assert rids(legacy.price_manipulation(df)) == []
 
@@ -75,7 +76,7 @@ def test_duplicates_equal_comparing_all_pairs(spark, large, request):
     for i in range(600):
         base = 1000.0 * 1.0101 ** rng.randrange(12)
         records.append({
-            **HOME, "street": 1.0 if i % 3 == 0 else float(i % 90), "brokered_by": rng.choice([1.0, 1.0, 1.0, None]),
+            **HOME, "street": 1.0 if i % 3 == 0 else float(i % 90), "brokered_by": rng.choice([42.0, 42.0, 42.0, None]),
             "price": rng.choice([None, 0.0, -1.0, base, base * 0.99, base * 0.9899, base / 0.99, base * 1.0099]),
             **{c: rng.choice([None, 1.0, 2.0, 3.0]) for c in COMPARED if c != "prev_sold_date"},
             "prev_sold_date": rng.choice([None, "2015-06-01", "2016-06-01"])})
@@ -99,23 +100,21 @@ def z_of(df, **options):
 
 
 def test_unit_error_stands_out(table):
-    rng = np.random.default_rng(0)
-    z = z_of(table(*[{"price": float(p), "street": float(i)} for i, p in enumerate(rng.normal(300000, 20000, 60).round())],
-                   {"price": 300.0}))
-    assert z[60] > 3.5 and all(z[i] < 3.5 for i in range(60))
+    """Forty evenly spread prices, and the middle one a hundred times too large and too small."""
+    z = z_of(table({"price": 48_000_000.0}, *[{"price": 400_000.0 + 4_000 * i} for i in range(40)], {"price": 4_800.0}))
+    assert z[0] > 3.5 < z[41] and all(z[i] < 3.5 for i in range(1, 41))
 
 
 @pytest.mark.parametrize("large", [False, True])
 def test_floor_tames_a_group_of_equal_prices(table, large, request):
     if large:
         request.getfixturevalue("small_limits")
-    rng = np.random.default_rng(0)
-    df = table(*[{"price": 150000.0}] * 30, *[{"price": 150000.0 * (1 + 0.002 * i)} for i in range(15)],
-               {"price": 180000.0},
-               *[{"price": float(p), "zip_code": float(78000 + i % 20), "state": "Ohio"}
-                 for i, p in enumerate(rng.lognormal(np.log(250000), 0.3, 600))])
-    assert z_of(df, quantile=None)[45] > 50
-    assert z_of(df)[45] < 3.5
+    """One zip code with prices a hair apart and one 15% above; eight others with wide and even prices."""
+    tight = [{"price": 640_000.0 + 64 * (i % 12)} for i in range(36)]
+    wide = [{"price": 300_000.0 * 1.02 ** (k % 50), "zip_code": 89_600.0 + k // 50, "state": "Utah"} for k in range(400)]
+    df = table({"price": 736_000.0}, *tight, *wide)
+    assert z_of(df, quantile=None)[0] > 50
+    assert z_of(df)[0] < 3.5
 
 
 def reference_z(records, floor_quantile):

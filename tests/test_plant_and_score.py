@@ -10,16 +10,19 @@ from sparkaudit.operators.score import (confidence_interval, flag_metrics, recal
                                         t_critical)
 from sparkaudit.schema import LISTING_COLUMNS, listing_struct
 
-SPEC = Spec(sentinel_dates=20, typo_years=20, exact_duplicates=10, near_duplicates=10, price_factors={10: 10, 0.001: 10})
+SPEC = Spec(sentinel_dates=7, typo_years=13, exact_duplicates=9, near_duplicates=16, price_factors={100: 6, 0.01: 5, 7: 4})
+COPIES = SPEC.exact_duplicates + SPEC.near_duplicates
+HOMES = 1400
 
 
 @pytest.fixture(scope="module")
 def small(spark):
-    rng = np.random.default_rng(1)
+    """One home per address, every value a formula of its number; all years can be misread by a swap of digits or not."""
     rows = []
-    for i in range(3000):
-        home = {**HOME, "street": float(i), "price": float(rng.integers(100, 900)) * 1000, "zip_code": float(78700 + i % 5),
-                "prev_sold_date": f"{rng.integers(1990, 2022)}-0{rng.integers(1, 9)}-15"}
+    for i in range(HOMES):
+        home = {**HOME, "street": 5000.0 + 3 * i, "price": 90_000.0 + 1_250 * (i * 37 % 611), "bed": 1.0 + i % 6,
+                "zip_code": 89_400.0 + i % 11, "house_size": 700.0 + (i * 53) % 1900,
+                "prev_sold_date": f"{2003 + i % 18}-{1 + i % 12:02d}-{1 + i % 28:02d}"}
         rows.append((i, *[home[c] for c in LISTING_COLUMNS]))
     return spark.createDataFrame(rows, listing_struct())
 
@@ -30,9 +33,11 @@ def test_planting_is_reproducible_and_disjoint(small):
     rows = sorted(map(tuple, first.table.collect()), key=lambda r: r[0])
     assert labels == sorted(map(tuple, second.labels.collect()))
     assert rows == sorted(map(tuple, second.table.collect()), key=lambda r: r[0])
-    assert len(rows) == 3020 and [r[0] for r in rows] == list(range(3020))
-    assert len({r[0] for r in labels}) == len(labels) == 20 + 20 + 40 + 20
-    assert invalid_dates(first.table).count() == 40
+    assert [r[0] for r in rows] == list(range(HOMES + COPIES))
+    dates, prices = SPEC.sentinel_dates + SPEC.typo_years, sum(SPEC.price_factors.values())
+    assert len({r[0] for r in labels}) == len(labels) == dates + 2 * COPIES + prices
+    wrong = {r["rid"] for r in invalid_dates(first.table).collect()}
+    assert wrong == {r[0] for r in labels if r[1] == "invalid_date"} and len(wrong) == dates
     planted = {r[0] for r in labels if r[1] == "duplicate"}
     assert planted <= {r["rid"] for r in duplicates(first.table).collect()}
     assert labels != sorted(map(tuple, plant(small, 4, SPEC).labels.collect()))
@@ -57,12 +62,12 @@ def test_changes_of_each_stage(small):
 
 def test_too_small_a_pool_is_an_error(small):
     with pytest.raises(ValueError, match="exact_duplicates"):
-        plant(small, 0, Spec(exact_duplicates=4000, sentinel_dates=0, typo_years=0, near_duplicates=0, price_factors={}))
+        plant(small, 0, Spec(exact_duplicates=HOMES + 1, sentinel_dates=0, typo_years=0, near_duplicates=0, price_factors={}))
 
 
 def test_sample(small):
-    picked = {r["rid"] for r in sample(small, 25, 1, F.col("rid") >= 1000).collect()}
-    assert len(picked) == 25 and min(picked) >= 1000
+    picked = {r["rid"] for r in sample(small, 31, 1, F.col("rid") % 2 == 1).collect()}
+    assert len(picked) == 31 and all(r % 2 for r in picked)
 
 
 def labelled(spark, *rows):
@@ -70,11 +75,13 @@ def labelled(spark, *rows):
 
 
 def test_flag_metrics(spark):
-    flags = spark.createDataFrame([(0, True), (1, True), (2, False), (3, False)], "rid long, flag boolean")
-    labels = labelled(spark, (0, "x", "s"), (2, "x", "t"), (1, "y", "s"))
-    m = flag_metrics(flags, labels, "x", flags.where("rid = 1")).first()
-    assert (m["tp"], m["fp"], m["fn"], m["precision"], m["recall"], m["f1"]) == (1, 1, 1, 0.5, 0.5, 0.5)
-    assert (m["fp_preexisting"], m["precision_upper"]) == (1, 1.0)
+    """Nine records: five flagged, of which three are labelled; four labelled ones in all."""
+    flags = spark.createDataFrame([(i, i in (1, 2, 4, 6, 8)) for i in range(9)], "rid long, flag boolean")
+    labels = labelled(spark, (1, "x", "s"), (4, "x", "s"), (8, "x", "s"), (5, "x", "t"), (2, "y", "s"))
+    m = flag_metrics(flags, labels, "x", flags.where("rid in (1, 6)")).first()
+    assert (m["flagged"], m["tp"], m["fp"], m["fn"]) == (5, 3, 2, 1)
+    assert (m["precision"], m["recall"], m["f1"]) == (0.6, 0.75, pytest.approx(2 / 3))
+    assert (m["fp_preexisting"], m["precision_upper"]) == (1, 0.75)
     none = flag_metrics(flags.withColumn("flag", F.lit(False)), labels, "x").first()
     assert none["precision"] is None and none["recall"] == 0 and none["f1"] is None
     assert {r["subtype"]: r["recall"] for r in recall_by_subtype(flags, labels, "x").collect()} == {"s": 1.0, "t": 0.0}
@@ -107,3 +114,14 @@ def test_t_interval(spark):
     row = spark.createDataFrame([(v,) for v in values], "v double").agg(*confidence_interval(F.col("v"))).first()
     assert row["mean"] == pytest.approx(0.3)
     assert row["half_width"] == pytest.approx(2.7764451 * np.std(values, ddof=1) / 5 ** 0.5, abs=1e-6)
+
+
+@pytest.mark.parametrize("n", [1, 2, 31, 32, 61, 62, 200, 5000])
+def test_t_interval_of_any_number_of_runs(spark, n):
+    values = [((i * 37) % 101) / 7 for i in range(n)]
+    row = spark.createDataFrame([(v,) for v in values], "v double").agg(*confidence_interval(F.col("v"))).first()
+    if n == 1:
+        assert row["half_width"] is None
+    else:
+        want = t_critical(n - 1) * np.std(values, ddof=1) / n ** 0.5
+        assert row["half_width"] == pytest.approx(want, rel=1e-8)

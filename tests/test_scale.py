@@ -56,8 +56,8 @@ def test_kth_smallest_by_prefixes_equals_sorting(spark, k):
     rng = np.random.default_rng(1)
     values = sorted(int(v) for v in rng.integers(0, 2 ** 60, 499)) + [2 ** 60 - 1]
     df = spark.createDataFrame([(v,) for v in values], "u long")
-    assert kth_smallest(df, "u", k) == values[k - 1]
-    assert kth_smallest(df, "u", 501) is None
+    assert kth_smallest(df, "u", k) == kth_smallest(df, "u", k, bounded=True) == values[k - 1]
+    assert kth_smallest(df, "u", 501) is kth_smallest(df, "u", 501, bounded=True) is None
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
