@@ -7,9 +7,13 @@ from datetime import UTC, datetime
 from pathlib import PurePosixPath
 
 from .operators.contract import ContractError
+from .operators.plant import Spec
+from .operators.splits import prepare
 from .plans.audit import FLAGS, audit, report_lines, summary_document
+from .plans.leakage import store_leakage, store_naive
+from .plans.validation import store_validation
 from .schema import RID
-from .session import build_session
+from .session import build_session, materialise
 from .sources.listings import read_raw_csv, with_row_ids
 from .sources.sinks import write_csv, write_json, write_lines
 
@@ -35,6 +39,23 @@ def run(spark, path, out):
     return 0
 
 
+def experiment(spark, kind, path, out, models=None, **options):
+    """Runs ``validation``, ``leakage`` or ``naive`` over a Parquet table of listings and stores the results.
+
+    ``models`` reruns some models of a leakage experiment and keeps the stored results of the others.
+    """
+    listings = spark.read.parquet(path)
+    chosen = {"only": tuple(models)} if models else {}
+    if kind == "validation":
+        store_validation(materialise(listings), options.pop("spec", Spec()), out, **options)
+    elif kind == "leakage":
+        store_leakage(materialise(prepare(listings)), out, **chosen, **options)
+    elif kind == "naive":
+        store_naive(materialise(prepare(listings)), out, **chosen, **options)
+    else:
+        raise ValueError(f"unknown experiment {kind!r}")
+
+
 def main(argv):
     path, out = argv
     return run(build_session(), path, out)

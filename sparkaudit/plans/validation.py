@@ -122,3 +122,10 @@ def largest_z(df, stats=None):
     stats = price_stats(df) if stats is None else stats
     both = price_robust_z(price_robust_z(df, None, stats, "z_plain"), stats=stats, name="z_floor")
     return both.where(F.col("price") > 0).agg(F.max("z_plain").alias("without_floor"), F.max("z_floor").alias("with_floor"))
+
+
+def store_validation(df, spec, folder, **options):
+    """Stores the metrics and the recalls by subtype of a validation under ``folder``."""
+    metrics, recalls = validate(df, spec, **options)
+    metrics.write.mode("overwrite").parquet(f"{folder}/validation_metrics")
+    recalls.write.mode("overwrite").parquet(f"{folder}/validation_recall_by_subtype")

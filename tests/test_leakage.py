@@ -10,6 +10,7 @@ from sparkaudit.operators.leakage import HOME as PHYSICAL
 from sparkaudit.operators.leakage import mechanism_table, regression_metrics, twin_flags
 from sparkaudit.operators.properties import with_property
 from sparkaudit.operators.rootcause import group_mixes, spearman
+from sparkaudit.plans.leakage import naive_comparison, store_leakage
 from sparkaudit.schema import LISTING_COLUMNS, MODEL_FEATURES, PROPERTY_KEY, listing_struct
 from sparkaudit.session import materialise
 
@@ -162,3 +163,37 @@ def test_spearman_with_ties(spark):
     ranks = [np.array([sum(v < x for v in s) + (sum(v == x for v in s) + 1) / 2 for x in s]) for s in (a, b)]
     got = spearman(spark.createDataFrame(list(zip(a, b)), "a int, b double"), "a", "b").first()
     assert got["rho"] == pytest.approx(np.corrcoef(*ranks)[0, 1])
+
+
+SMALL = {models.FOREST: {"numTrees": 2, "maxDepth": 3}}
+
+
+def test_leakage_conditions_and_stored_results(spark, listings, tmp_path):
+    prepared = materialise(splits.prepare(listings))
+    options = {"n_seeds": 1, "shares": [0.0, 1.0], "settings": SMALL}
+    store_leakage(prepared, str(tmp_path), only=(models.RIDGE, models.FOREST), **options)
+    before = {tuple(r[c] for c in ("model", "keep_share", "subset")): (r["n_test"], r["n_train"], r["r2"])
+              for r in spark.read.parquet(str(tmp_path / "leakage_metrics")).collect()}
+    assert len(before) == 2 * 2 * 3
+    part = splits.with_twins(splits.random_split(prepared, 0)).collect()
+    for (_, _, subset), (n_test, n_train, _) in before.items():
+        seen = {"all test rows": (True, False), "property seen in train": (True,), "property not seen": (False,)}[subset]
+        assert n_test == sum(r["is_test"] and r["seen"] in seen for r in part)
+        assert n_train == sum(not r["is_test"] and not r["twin"] for r in part)
+    store_leakage(prepared, str(tmp_path), only=(models.RIDGE,), **{**options, "n_seeds": 2})
+    after = spark.read.parquet(str(tmp_path / "leakage_metrics"))
+    assert {r["model"]: r["count"] for r in after.groupBy("model").count().collect()} == {models.RIDGE: 12, models.FOREST: 6}
+    table = spark.read.parquet(str(tmp_path / "leakage_mechanism"))
+    assert table.count() == 4 and {r["model"] for r in table.collect()} == {models.RIDGE, models.FOREST}
+
+
+def test_naive_comparison_of_both_splits(listings):
+    rows = naive_comparison(materialise(splits.prepare(listings)), n_seeds=2, models=(models.RIDGE,)).collect()
+    assert {(r["seed"], r["split"]) for r in rows} == {(s, p) for s in (0, 1) for p in ("random", "grouped")}
+    assert all(r["n_test"] > 0 and r["r2"] is not None for r in rows)
+
+
+def test_metrics_of_one_row_or_one_price_have_no_r2(spark):
+    rows = spark.createDataFrame([("one", 1.0, 1.5), ("same", 2.0, 2.0), ("same", 2.0, 2.5), ("two", 1.0, 1.0), ("two", 2.0, 2.0)], "g string, y double, p double")
+    got = {r["g"]: (r["n_test"], r["r2"]) for r in regression_metrics(rows, ["g"]).collect()}
+    assert got == {"one": (1, None), "same": (2, None), "two": (2, 1.0)}
