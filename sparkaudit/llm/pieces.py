@@ -28,6 +28,8 @@ UNIT = re.compile(UNITS)
 LONGEST = 60
 # Words in the broadcast, at most, and documents of the first look that chooses them.
 COMMON, FIRST_LOOK = 500_000, 20_000
+# Words whose lattices one task puts together; a word becomes some thirty rows there.
+TASK_WORDS = 20_000
 # First letters by which the length of substrings is bounded.
 HEAD = 3
 DUMMY = ("", "00000000", 0.0)
@@ -225,20 +227,30 @@ class LongWords:
         return np.array(ids, dtype=">i4").tobytes()
 
 
+def tasks_for(words):
+    """How many partitions hold ``words`` lattices. Given as a number, so Spark does not merge them by the size of the words."""
+    return int(min(max(1, -(-words // TASK_WORDS)), 100_000))
+
+
 def common_words(docs, vocabulary, text):
-    """At most ``COMMON`` words that a bounded sample of the documents holds most often, encoded."""
-    share = F.lit(float(FIRST_LOOK)) / F.greatest(F.lit(docs.count()), F.lit(1))
-    seen = (docs.where(hash_share(F.col(text)) < share).select(F.explode(units_of(F.col(text))).alias("word"))
+    """At most ``COMMON`` words that a bounded sample of the documents holds most often, encoded; about how many words
+    of all documents are not among them (seen but not chosen, or once, which stands for the unseen)."""
+    rows = docs.count()
+    share = min(1.0, FIRST_LOOK / max(rows, 1))
+    seen = (docs.where(hash_share(F.col(text)) < F.lit(share)).select(F.explode(units_of(F.col(text))).alias("word"))
             .where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     seen = materialise(seen)
-    least, total = None, 0
+    least, total, left = None, 0, 0
     for row in seen.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        if left or total + row["words"] > COMMON:
+            left += row["n"] * row["words"]
+            continue
         total += row["words"]
-        if total > COMMON:
-            break
         least = row["n"]
+        left += row["words"] if row["n"] == 1 else 0
     chosen = seen.where(F.col("n") >= F.lit(least)) if least is not None else seen.limit(0)
-    return materialise(encode_words(chosen.select("word").repartition("word"), vocabulary))
+    encoded = encode_words(chosen.select("word").repartition(tasks_for(total), "word"), vocabulary)
+    return materialise(encoded), left / share if share < 1 else left
 
 
 def _packed(texts: pd.Series) -> pd.Series:
@@ -252,13 +264,13 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
     gives an empty table.
     """
     docs = docs.drop("ids", "n_tokens")
-    common = common_words(docs, vocabulary, text)
+    common, others_about = common_words(docs, vocabulary, text)
     known = docs.sparkSession.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in common.toLocalIterator()})
     others = LongWords(vocabulary)
     # documents with the same key share their rare words, which changes no encoding
     keys = docs.withColumn("_key", F.xxhash64(id_col, text))
     rare = (keys.select("_key", F.explode(F.array_distinct(units_of(F.col(text)))).alias("word")).where(F.length("word") <= LONGEST)
-            .join(F.broadcast(common.select("word")), "word", "left_anti")
+            .join(F.broadcast(common.select("word")), "word", "left_anti").repartition(tasks_for(others_about), "word")
             .groupBy("word").agg(F.collect_list("_key").alias("keys")))
     sent = (encode_words(rare, vocabulary, "keys").select(F.explode("keys").alias("_key"), F.struct("word", "ids").alias("_pair"))
             .groupBy("_key").agg(F.collect_list("_pair").alias("_pairs")))
