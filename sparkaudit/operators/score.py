@@ -1,6 +1,6 @@
 """Scoring flags and anomaly scores against labelled errors."""
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import functions as F
 
@@ -17,33 +17,42 @@ def positives(labels, family):
     return labels.where(F.col("family") == family).select(RID).distinct()
 
 
-def flag_metrics(flags, labels, family, preexisting=None):
-    """One row: flagged, tp, fp, fn, precision, recall, f1 of ``flags`` (rid, flag).
+def sparse_metrics(flagged, wanted, by=(), before=None):
+    """One row per ``by``: flagged, tp, fp, fn, precision, recall, f1, from the ids that matter alone.
 
-    Every record without a label counts as a negative. With ``preexisting`` (rid, flag), the flags of the
-    unmodified table, also an upper bound of the precision that does not count those as errors.
-    An undefined ratio is missing.
+    ``flagged``, ``wanted`` (labelled) and ``before`` (flagged in the unmodified table) hold the columns ``by`` and rid,
+    only of records that are flagged or labelled; every other record is a true negative and never looked at. With
+    ``before`` also an upper bound of the precision that does not count those flags as errors. An undefined ratio is
+    missing. Any number of detectors and seeds is one aggregate.
     """
-    rows = flags.select(RID, "flag").join(positives(labels, family).withColumn("_y", F.lit(True)), RID, "left")
-    y, flag = F.coalesce("_y", F.lit(False)), F.coalesce("flag", F.lit(False))
-    counts = [F.count_if(flag & y).alias("tp"), F.count_if(flag & ~y).alias("fp"), F.count_if(~flag & y).alias("fn")]
-    if preexisting is not None:
-        rows = rows.join(preexisting.where("flag").select(RID, F.lit(True).alias("_before")), RID, "left")
-        counts.append(F.count_if(flag & ~y & F.coalesce("_before", F.lit(False))).alias("fp_preexisting"))
+    kinds = [("_f", flagged), ("_y", wanted)] + ([("_b", before)] if before is not None else [])
+    marks = reduce(lambda a, b: a.unionByName(b), [
+        rows.select(*by, RID, *[F.lit(name == k).alias(k) for k, _ in kinds]) for name, rows in kinds])
+    each = marks.groupBy(*by, RID).agg(*[F.bool_or(k).alias(k) for k, _ in kinds])
+    f, y = F.col("_f"), F.col("_y")
+    counts = [F.count_if(f & y).alias("tp"), F.count_if(f & ~y).alias("fp"), F.count_if(~f & y).alias("fn")]
+    if before is not None:
+        counts.append(F.count_if(f & ~y & F.col("_b")).alias("fp_preexisting"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
     p, r = F.col("precision"), F.col("recall")
-    out = (rows.agg(*counts).withColumn("flagged", tp + fp).withColumn("precision", precision)
+    out = (each.groupBy(*by).agg(*counts).withColumn("flagged", tp + fp).withColumn("precision", precision)
            .withColumn("recall", recall)
            .withColumn("f1", F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / F.when(p + r != 0, p + r))))
-    names = ["flagged", "tp", "fp", "fn", "precision", "recall", "f1"]
-    if preexisting is not None:
+    names = [*by, "flagged", "tp", "fp", "fn", "precision", "recall", "f1"]
+    if before is not None:
         clean = tp + fp - F.col("fp_preexisting")
         out = out.withColumn("precision_upper", ratio(tp, clean))
         names += ["fp_preexisting", "precision_upper"]
     return out.select(names)
 
 
+def flag_metrics(flags, labels, family, preexisting=None):
+    """``sparse_metrics`` of the flags (rid, flag) of one detector; labels are of records of the flagged table."""
+    before = None if preexisting is None else preexisting.where("flag")
+    return sparse_metrics(flags.where("flag"), positives(labels, family), before=before)
+
+
 def ranking(scores, labels, family):
     """Per distinct score: records ``n``, positives ``tp``, and both accumulated from the highest score down."""
     rows = scores.select(RID, "score").join(positives(labels, family).withColumn("_y", F.lit(1)), RID, "left")
@@ -75,11 +84,16 @@ def r_precision(scores, labels, family):
     return score_metrics(scores, labels, family).select("r_precision")
 
 
+def sparse_recalls(flagged, wanted, by=()):
+    """Share of the labelled records of each (``by``, subtype) that are flagged; both tables hold ids that matter alone."""
+    hits = flagged.select(*by, RID, F.lit(1.0).alias("_hit"))
+    return (wanted.join(hits, [*by, RID], "left").groupBy(*by, "subtype")
+            .agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias("recall")))
+
+
 def recall_by_subtype(flags, labels, family):
     """Share of each subtype's labelled records that are flagged."""
-    hit = F.coalesce("flag", F.lit(False)).cast("double")
-    return (labels.where(F.col("family") == family).join(flags.select(RID, "flag"), RID, "left")
-            .groupBy("subtype").agg(F.avg(hit).alias("recall")))
+    return sparse_recalls(flags.where("flag"), labels.where(F.col("family") == family))
 
 
 @lru_cache

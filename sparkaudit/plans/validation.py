@@ -10,7 +10,7 @@ from ..operators.legacy import placeholder_date, price_manipulation, same_price_
 from ..operators.plant import plant
 from ..operators.robust import is_price_outlier, price_robust_z, price_stats
 from ..operators.scale import beside
-from ..operators.score import confidence_interval, flag_metrics, recall_by_subtype, score_metrics
+from ..operators.score import confidence_interval, score_metrics, sparse_metrics, sparse_recalls
 from ..schema import RID
 from ..session import materialise
 
@@ -32,19 +32,14 @@ FAMILIES = {
 
 
 def run_detectors(df, seed=0, forests=True):
-    """({detector: (rid, flag)}, {detector: (rid, score)}) over all records."""
+    """({detector: rid of the flagged records}, {detector: (rid, score) of all records})."""
     date = F.col("prev_sold_date")
-
-    def flagged(hits):
-        marked = hits.select(RID, F.lit(True).alias("_f"))
-        return df.select(RID).join(marked, RID, "left").select(RID, F.coalesce("_f", F.lit(False)).alias("flag"))
-
-    flags = {
-        "original: placeholder dates": df.select(RID, placeholder_date(date).alias("flag")),
-        "corrected: invalid dates": df.select(RID, invalid_date(date).alias("flag")),
-        "original: same price, different dates": flagged(same_price_different_dates(df)),
-        "original: price manipulation": flagged(price_manipulation(df)),
-        "corrected: listing duplicates": flagged(duplicate_ids(df)),
+    flagged = {
+        "original: placeholder dates": df.where(placeholder_date(date)),
+        "corrected: invalid dates": df.where(invalid_date(date)),
+        "original: same price, different dates": same_price_different_dates(df),
+        "original: price manipulation": price_manipulation(df),
+        "corrected: listing duplicates": duplicate_ids(df),
     }
     stats = price_stats(df)
     scores = {
@@ -54,10 +49,15 @@ def run_detectors(df, seed=0, forests=True):
     if forests:
         scores[FOREST] = isolation_forest(df, seed, stats=stats)
         scores[FOREST_PRICE] = isolation_forest(df, seed, price_only=True, stats=stats)
+    scores = {name: materialise(s) for name, s in scores.items()}
     for name, s in scores.items():
-        hit = is_price_outlier(F.col("score")) if name in (ROBUST, FLOORED) else F.col("score") > FOREST_THRESHOLD
-        flags[name] = s.select(RID, hit.alias("flag"))
-    return flags, scores
+        flagged[name] = s.where(is_price_outlier(F.col("score")) if name in (ROBUST, FLOORED) else F.col("score") > FOREST_THRESHOLD)
+    return {name: rows.select(RID) for name, rows in flagged.items()}, scores
+
+
+def flag_table(flagged, **values):
+    """All flagged ids as one stored table (the given values, detector, family, rid)."""
+    return materialise(union([named(rows, **values, detector=name, family=FAMILIES[name]) for name, rows in flagged.items()]))
 
 
 def named(df, **values):
@@ -68,30 +68,41 @@ def union(frames):
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def base_flag_counts(flags):
-    """Per detector: records flagged."""
-    return union([named(f.agg(F.count_if("flag").alias("flags")), detector=name, family=FAMILIES[name])
-                  for name, f in flags.items()])
+def base_flag_counts(flagged):
+    """Per detector: records flagged, none included."""
+    spark = next(iter(flagged.values())).sparkSession
+    names = spark.createDataFrame([(name, FAMILIES[name]) for name in flagged], "detector string, family string")
+    counts = flag_table(flagged).groupBy("detector").agg(F.count(F.lit(1)).alias("flags"))
+    return F.broadcast(names).join(counts, "detector", "left").select("detector", "family", F.coalesce("flags", F.lit(0)).alias("flags"))
+
+
+def wanted_table(labels, names, seed):
+    """The labels of each detector's family (seed, detector, family, rid, subtype)."""
+    spark = labels.sparkSession
+    keys = spark.createDataFrame([(seed, name, FAMILIES[name]) for name in names], "seed int, detector string, family string")
+    return labels.join(F.broadcast(keys), "family").select("seed", "detector", "family", RID, "subtype")
 
 
 def validate(df, spec, n_seeds=5, forests=True):
-    """(metrics, recall by subtype): every detector on ``n_seeds`` plantings. ``df`` is a stored table."""
-    before, _ = run_detectors(df, 0, forests)
-    before = {name: materialise(f.where("flag")) for name, f in before.items()}
-    rows, recalls = [], []
+    """(metrics, recall by subtype): every detector on ``n_seeds`` plantings. ``df`` is a stored table.
+
+    Only ids of flagged and of labelled records are kept; the flags of all detectors and seeds are scored in one aggregate.
+    """
+    key = ["seed", "detector", "family"]
+    before = flag_table(run_detectors(df, 0, forests)[0])
+    flags, wanted, ranked = [], [], []
     for seed in range(n_seeds):
         planted = plant(df, seed, spec)
         table, labels = materialise(planted.table), materialise(planted.labels)
-        flags, scores = run_detectors(table, seed, forests)
-        for name, f in flags.items():
-            family, key = FAMILIES[name], {"seed": seed, "detector": name, "family": FAMILIES[name]}
-            f = materialise(f)
-            metrics = flag_metrics(f, labels, family, before[name])
-            if name in scores:
-                metrics = beside(metrics, score_metrics(scores[name], labels, family))
-            rows.append(named(metrics, **key))
-            recalls.append(named(recall_by_subtype(f, labels, family), **key))
-    return materialise(union(rows)), materialise(union(recalls))
+        flagged, scores = run_detectors(table, seed, forests)
+        flags.append(flag_table(flagged, seed=seed))
+        wanted.append(wanted_table(labels, flagged, seed))
+        ranked += [named(score_metrics(s, labels, FAMILIES[name]), seed=seed, detector=name) for name, s in scores.items()]
+    flags, wanted = union(flags), materialise(union(wanted))
+    earlier = before.select(F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed"), "detector", "family", RID)
+    metrics = sparse_metrics(flags, wanted.select(*key, RID).distinct(), key, earlier)
+    metrics = metrics.join(F.broadcast(materialise(union(ranked))), ["seed", "detector"], "left")
+    return materialise(metrics), materialise(sparse_recalls(flags, wanted, key))
 
 
 def summarise(metrics):

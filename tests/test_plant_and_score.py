@@ -8,7 +8,9 @@ from sparkaudit.operators.duplicates import duplicates
 from sparkaudit.operators.plant import Spec, plant, sample
 from sparkaudit.operators.score import (confidence_interval, flag_metrics, recall_by_subtype, score_metrics,
                                         t_critical)
+from sparkaudit.plans.validation import FAMILIES, run_detectors, validate
 from sparkaudit.schema import LISTING_COLUMNS, listing_struct
+from sparkaudit.session import materialise
 
 SPEC = Spec(sentinel_dates=7, typo_years=13, exact_duplicates=9, near_duplicates=16, price_factors={100: 6, 0.01: 5, 7: 4})
 COPIES = SPEC.exact_duplicates + SPEC.near_duplicates
@@ -125,3 +127,23 @@ def test_t_interval_of_any_number_of_runs(spark, n):
     else:
         want = t_critical(n - 1) * np.std(values, ddof=1) / n ** 0.5
         assert row["half_width"] == pytest.approx(want, rel=1e-8)
+
+
+def test_validation_equals_scoring_one_by_one(small):
+    """Two seeds and seven detectors in one aggregate against counting by hand."""
+    df = materialise(small)
+    metrics, recalls = validate(df, SPEC, n_seeds=2, forests=False)
+    got = {(r["seed"], r["detector"]): r for r in metrics.collect()}
+    names, _ = run_detectors(df, forests=False)
+    assert set(got) == {(s, n) for s in (0, 1) for n in names}
+    planted = plant(df, 1, SPEC)
+    labels = {(r["rid"], r["family"]) for r in planted.labels.collect()}
+    before = {n: {r["rid"] for r in f.collect()} for n, f in names.items()}
+    for name, found in run_detectors(materialise(planted.table), 1, forests=False)[0].items():
+        hits, family = {r["rid"] for r in found.collect()}, FAMILIES[name]
+        true = {r for r, f in labels if f == family}
+        row = got[1, name]
+        assert (row["tp"], row["fp"], row["fn"]) == (len(hits & true), len(hits - true), len(true - hits))
+        assert row["fp_preexisting"] == len((hits - true) & before[name]) and row["flagged"] == len(hits)
+        assert (row["average_precision"] is None) == (family != "price_unit")
+    assert {r["recall"] for r in recalls.where("detector = 'corrected: invalid dates'").collect()} == {1.0}
