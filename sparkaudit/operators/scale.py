@@ -16,8 +16,8 @@ BROADCAST_ROWS = 100_000
 HEAVY_KEYS = 1_000
 # Value-count rows of a whole table that one task could hold, should they all belong to one group.
 DIRECT_VALUES = 4_000_000
-# Cells per unit of ln(1+|v|). Values below a billion fall into at most 350,000 cells.
-CELLS = 16_384
+# Cells that the range of the values at hand is cut into, evenly in ln(1+|v|).
+CELLS = 1 << 20
 OUTER_CELL = 2 ** 40
 
 
@@ -60,11 +60,25 @@ def beside(rows, *one_rows):
     return rows
 
 
-def cell_of(value):
-    """Coarse integer position of a number; never decreases as the number grows."""
+def cells_over(df, column):
+    """A function from numbers to coarse integer positions that never decrease as the number grows.
+
+    The cells cover the range that the finite values of ``column`` have, so a narrow range is resolved as finely as a
+    wide one.
+    """
+    def scaled(x):
+        return F.signum(x) * F.log1p(F.abs(x))
+
     inf = F.lit(float("inf"))
-    fine = F.floor(F.signum(value) * F.log1p(F.abs(value)) * CELLS).cast("bigint")
-    return F.when(value == inf, F.lit(OUTER_CELL)).when(value == -inf, F.lit(-OUTER_CELL)).otherwise(fine)
+    finite = F.when(F.abs(column) < inf, scaled(column))
+    low, high = df.agg(F.min(finite), F.max(finite)).first()
+    width = (high - low) / CELLS if low is not None and high > low else 1.0
+
+    def cell_of(value):
+        fine = F.floor((scaled(value) - F.lit(low or 0.0)) / F.lit(width)).cast("bigint")
+        return F.when(value == inf, F.lit(OUTER_CELL)).when(value == -inf, F.lit(-OUTER_CELL)).otherwise(fine)
+
+    return cell_of
 
 
 def group_quantiles(counts, keys, probs, value="v", weight="n", names=None, stored=False, small=None):
@@ -91,6 +105,7 @@ def quantiles_by_cells(counts, keys, probs, value, weight, names):
     First the cell that holds each wanted rank is found from cell totals, then only the values of those cells
     are ordered. No task sees more of a group than its cell totals or one cell.
     """
+    cell_of = cells_over(counts, F.col(value))
     celled = counts.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w"),
                            cell_of(F.col(value)).alias("_cell"))
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
@@ -140,7 +155,7 @@ def running_totals(df, value, sums, descending=False):
     total before it, so the order is global but no task sorts more than one cell.
     """
     way = F.desc if descending else F.asc
-    celled = df.withColumn("_cell", cell_of(F.col(value)))
+    celled = df.withColumn("_cell", cells_over(df, F.col(value))(F.col(value)))
     before = (Window.partitionBy(F.lit(0)).orderBy(way("_cell"))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cells = celled.groupBy("_cell").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])

@@ -31,6 +31,24 @@ def test_quantiles_of_every_group_are_exact(rows, large, request):
         assert np.allclose([r["q0"], r["q1"], r["q2"]], np.quantile(values, [0.05, 0.5, 1.0]), atol=1e-9)
 
 
+def test_both_ways_of_quantiles_agree_to_the_last_bit(rows, small_limits):
+    counts = value_counts(rows[0], ["g"], F.col("x"))
+    probs, names = [0.05, 0.3, 0.77], ["a", "b", "c"]
+    by_cells = {tuple(r) for r in group_quantiles(counts, ["g"], probs, names=names, stored=True).collect()}
+    direct = {tuple(r) for r in group_quantiles(counts, ["g"], probs, names=names, stored=True, small=True).collect()}
+    assert by_cells == direct
+
+
+def test_a_narrow_range_is_spread_over_many_cells(spark, small_limits):
+    values = [0.5 + i * 1e-9 for i in range(2000)] + [float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v, 1) for v in values], "v double, n long")
+    cells = df.select(scale.cells_over(df, F.col("v"))(F.col("v")).alias("c")).distinct().count()
+    assert cells > 1500
+    got = group_quantiles(df, [], [0.25], stored=True).first()
+    assert got["n"] == 2002 and got["q0"] == pytest.approx(np.quantile(values[:-1] + [-1e9], 0.25), abs=1e-12)
+    assert {r["v"]: r["cum_n"] for r in running_totals(df, "v", ["n"]).collect()} == {v: k + 1 for k, v in enumerate(sorted(values))}
+
+
 def test_quantile_of_a_whole_table_and_of_none(rows, small_limits):
     df, data = rows
     whole = group_quantiles(value_counts(df, [], F.col("x")), [], [0.25], stored=True).first()
