@@ -27,7 +27,7 @@ UNIT = re.compile(UNITS)
 # Longest word that is folded as a lattice: its boundaries are the bits of one long. Longer ones are merged in Python.
 LONGEST = 60
 # Words in the broadcast, at most, and documents of the first look that chooses them.
-COMMON, FIRST_LOOK = 500_000, 20_000
+COMMON, FIRST_LOOK = 150_000, 20_000
 # Words whose lattices one task puts together; a word becomes some thirty rows there.
 TASK_WORDS = 20_000
 # First letters by which the length of substrings is bounded.
