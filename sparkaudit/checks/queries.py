@@ -23,9 +23,6 @@ SEED = 7
 SEEDS = 3
 SHARES = [0.0, 0.5, 1.0]
 FOLDS = 5
-# Settings that keep the experiment queries short, with nine and four fits each; the single models run with the
-# library's defaults, which are the experiment's.
-QUICK = {models.BOOSTING: {"maxIter": 5, "maxDepth": 4}, models.FOREST: {"numTrees": 5, "maxDepth": 8}}
 
 
 def listings(spark, folder):
@@ -256,7 +253,7 @@ def base_flag_counts(spark, folder, forests=False):
 
 
 def validation_run(spark, folder):
-    return validation.validate(materialise(recent(spark, folder)), SPEC, n_seeds=2)[0]
+    return validation.validate(materialise(recent(spark, folder)), SPEC)[0]
 
 
 def folded_metrics(spark, folder):
@@ -408,11 +405,11 @@ def model_query(model):
 
 
 def leakage_run(spark, folder):
-    return leakage_plan.leakage_run(prepared(spark, folder), n_seeds=1, settings=QUICK)[0]
+    return leakage_plan.leakage_run(prepared(spark, folder))[0]
 
 
 def naive_comparison(spark, folder):
-    return leakage_plan.naive_comparison(prepared(spark, folder), n_seeds=1, settings=QUICK)
+    return leakage_plan.naive_comparison(prepared(spark, folder))
 
 
 # --- root causes -----------------------------------------------------------------------------------------------------------
