@@ -191,3 +191,21 @@ def test_the_rest_works_without_the_subpackage():
             "sys.meta_path.insert(0, Gone()); import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op1_') for q in e.queries()))")
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=100)
     assert out.stdout.split()[1:] == ["False"], out.stderr
+
+
+@pytest.mark.parametrize("wrapper", ['class="content-sidebar-wrap"', 'class="has-sidebar"', 'class="no-sidebar wide"', 'class="search-results"',
+                                     'class="comment-enabled"', 'class="sidebar"', 'id="site-header"', 'class="widget"', 'class="sidebar"><div class="no-ads"'])
+@pytest.mark.parametrize("part", ["main", "article"])
+def test_a_name_of_a_wrapper_drops_no_main_part(wrapper, part):
+    blocks, main = page_blocks(f'<div {wrapper}><nav>no</nav><div class="menu">no</div><{part}><p>the text</p><div class="ad">no</div></{part}></div>')
+    assert main and [t for r, t in blocks if r == main_text.CONTENT] == ["the text"]
+
+
+def test_comments_adverts_and_elements_of_the_page_frame_hold_no_main_part():
+    for page in ('<div class="comments"><article>no</article></div>', '<div class="sidebar"><article class="comment-body">no</article></div>',
+                 '<div class="widget"><div class="ad-300x250"><article>no</article></div></div>', '<nav><main>no</main></nav>',
+                 '<aside class="sidebar"><article>no</article></aside>', '<div class="site-footer">no</div>', '<div class="main-nav menu">no</div>'):
+        blocks, main = page_blocks(page)
+        assert not main and [r for r, _ in blocks] == [main_text.DROPPED], page
+    blocks, main = page_blocks('<div class="has-sidebar">yes</div><div class="search-results">yes</div>')
+    assert not main and [r for r, _ in blocks] == [main_text.OPEN] * 2
