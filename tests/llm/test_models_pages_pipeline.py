@@ -209,3 +209,33 @@ def test_comments_adverts_and_elements_of_the_page_frame_hold_no_main_part():
         assert not main and [r for r, _ in blocks] == [main_text.DROPPED], page
     blocks, main = page_blocks('<div class="has-sidebar">yes</div><div class="search-results">yes</div>')
     assert not main and [r for r, _ in blocks] == [main_text.OPEN] * 2
+
+
+@pytest.mark.parametrize("many,shard", [(12, 4), (2500, 256)])
+def test_quotes_headings_and_stock_phrases_are_no_boilerplate(spark, many, shard, monkeypatch):
+    monkeypatch.setattr(main_text, "SHARD", shard)
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    stock = ["on the other hand it is", "as a matter of fact we", "at the end of the day"]
+    quote = " ".join(rnd.choices(words, k=60))
+    menu = "<ul><li>Home<li>News of the day<li>Contact</ul>"
+    end = f"<div>{' '.join(rnd.choices(words, k=45))}</div><div>Copyright by the owners of this site</div>"
+    rows, want = [], {}
+    for i in range(many):
+        blocks = [" ".join(rnd.choice(stock) + " " + " ".join(rnd.choices(words, k=6)) for _ in range(8)) for _ in range(2)]
+        blocks += [quote] if i < 3 else []
+        blocks.insert(1, "What the people say about it" if i % 5 == 0 else f"Part {i}")
+        rows.append((i, "http://h.org/", f"{menu}{''.join(f'<p>{b}</p>' for b in blocks)}{end}"))
+        want[i] = "\n\n".join(blocks)
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == many and [r["page_id"] for r in got if r["text"] != want[r["page_id"]]] == []
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="tables not present")
+def test_pages_keep_their_text_without_the_article_tags(spark):
+    pages = spark.read.parquet(str(FOLDER / "pages.parquet"))
+    plain = pages.withColumn("html", F.regexp_replace("html", "(?i)<(/?)(article|main)\\b", "<$1div"))
+    got = {r["page_id"]: r["text"] for r in extract_text(plain).collect()}
+    want = {r["page_id"]: r["text"] for r in extract_text(pages).collect()}
+    lost = [b for i, t in want.items() for b in t.split("\n\n") if b not in got[i].split("\n\n")]
+    assert want and not lost
