@@ -7,7 +7,8 @@ best-scored merge of two neighbours, the leftmost of equal ones), which is what
 
 A vocabulary in which no piece has a space mark after another character is never merged across the start of a word, so
 words are encoded once and put together. Words that a first look finds often are looked up in a broadcast of bounded
-size; all others are encoded where they meet by word and sent back to their documents. The split changes no result.
+size; of all others the distinct ones are encoded, and their ids are joined to the documents that hold them. No group
+grows with the number of documents that share a word or a text. The split changes no result.
 """
 import heapq
 import re
@@ -18,7 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..operators.scale import attach
+from ..session import materialise, stored_rows
 from .text_model import hash_share
 
 MARK = "▁"
@@ -28,6 +30,8 @@ UNIT = re.compile(UNITS)
 LONGEST = 60
 # Words in the broadcast, at most, and documents of the first look that chooses them.
 COMMON, FIRST_LOOK = 150_000, 20_000
+# Keys over which copies of a text are dealt.
+COPIES = 64
 # Words whose lattices one task puts together; a word becomes some thirty rows there.
 TASK_WORDS = 20_000
 # First letters by which the length of substrings is bounded.
@@ -232,25 +236,35 @@ def tasks_for(words):
     return int(min(max(1, -(-words // TASK_WORDS)), 100_000))
 
 
-def common_words(docs, vocabulary, text):
-    """At most ``COMMON`` words that a bounded sample of the documents holds most often, encoded; about how many words
-    of all documents are not among them (seen but not chosen, or once, which stands for the unseen)."""
+def common_words(docs, vocabulary, id_col, text):
+    """At most ``COMMON`` words that a bounded sample of the documents holds most often, encoded."""
     rows = docs.count()
     share = min(1.0, FIRST_LOOK / max(rows, 1))
-    seen = (docs.where(hash_share(F.col(text)) < F.lit(share)).select(F.explode(units_of(F.col(text))).alias("word"))
+    seen = (docs.where(hash_share(F.col(id_col), F.col(text)) < F.lit(share)).select(F.explode(units_of(F.col(text))).alias("word"))
             .where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     seen = materialise(seen)
-    least, total, left = None, 0, 0
+    least, total = None, 0
     for row in seen.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
-        if left or total + row["words"] > COMMON:
-            left += row["n"] * row["words"]
-            continue
+        if total + row["words"] > COMMON:
+            break
         total += row["words"]
         least = row["n"]
-        left += row["words"] if row["n"] == 1 else 0
     chosen = seen.where(F.col("n") >= F.lit(least)) if least is not None else seen.limit(0)
-    encoded = encode_words(chosen.select("word").repartition(tasks_for(total), "word"), vocabulary)
-    return materialise(encoded), left / share if share < 1 else left
+    return materialise(encode_words(chosen.select("word").repartition(tasks_for(total), "word"), vocabulary))
+
+
+def rare_words(keys, common, vocabulary, text):
+    """For every key the words that are not common, with their ids, as one array of pairs without repeats.
+
+    Rows that share a key give each pair once. Words are counted and the distinct ones encoded, so a lattice carries no
+    keys; ``attach`` joins them back without gathering the keys of a frequent word.
+    """
+    pairs = materialise(keys.select("_key", F.explode(F.array_distinct(units_of(F.col(text)))).alias("word")).where(F.length("word") <= LONGEST)
+                        .join(F.broadcast(common.select("word")), "word", "left_anti").select("_key", "word").distinct())
+    counted = materialise(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("_n")))
+    words = materialise(encode_words(counted.repartition(tasks_for(stored_rows(counted)), "word"), vocabulary, "_n"))
+    return (attach(pairs, words, ["word"], "_n", stored=True).select("_key", F.struct("word", "ids").alias("_pair"))
+            .groupBy("_key").agg(F.collect_list("_pair").alias("_pairs")))
 
 
 def _packed(texts: pd.Series) -> pd.Series:
@@ -264,16 +278,20 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
     gives an empty table.
     """
     docs = docs.drop("ids", "n_tokens")
-    common, others_about = common_words(docs, vocabulary, text)
+    common = common_words(docs, vocabulary, id_col, text)
     known = docs.sparkSession.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in common.toLocalIterator()})
     others = LongWords(vocabulary)
-    # documents with the same key share their rare words, which changes no encoding
-    keys = docs.withColumn("_key", F.xxhash64(id_col, text))
-    rare = (keys.select("_key", F.explode(F.array_distinct(units_of(F.col(text)))).alias("word")).where(F.length("word") <= LONGEST)
-            .join(F.broadcast(common.select("word")), "word", "left_anti").repartition(tasks_for(others_about), "word")
-            .groupBy("word").agg(F.collect_list("_key").alias("keys")))
-    sent = (encode_words(rare, vocabulary, "keys").select(F.explode("keys").alias("_key"), F.struct("word", "ids").alias("_pair"))
-            .groupBy("_key").agg(F.collect_list("_pair").alias("_pairs")))
+    # documents with the same key share their rare words, which changes no encoding; copies are dealt over some keys
+    keys = docs.withColumn("_key", F.xxhash64(text, F.pmod(F.xxhash64(id_col), F.lit(COPIES))))
+    sent = rare_words(keys, common, vocabulary, text)
+
+    def code_of(word, table, own):
+        found = table.get(word) or own.get(word)
+        if found is None:
+            if len(word) <= LONGEST:
+                raise RuntimeError(f"the lattice path lost the word {word!r}")
+            found = others.encode(word)
+        return found
 
     def whole(texts: pd.Series, words: pd.Series, codes: pd.Series) -> pd.DataFrame:
         table, plain, out = known.value, [], []
@@ -281,7 +299,7 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
             t = zlib.decompress(packed).decode() if packed is not None else None
             own = dict(zip(w, c, strict=True)) if w is not None else {}
             units = UNIT.findall(MARK + t.replace(" ", MARK)) if t else []
-            code = b"".join([table.get(u) or own.get(u) or others.encode(u) for u in units])
+            code = b"".join([code_of(u, table, own) for u in units])
             plain.append(t)
             out.append(np.frombuffer(code, dtype=">i4").astype(np.int32))
         return pd.DataFrame({"text": pd.Series(plain, dtype=object), "ids": pd.Series(out, dtype=object)})

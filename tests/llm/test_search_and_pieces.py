@@ -111,3 +111,36 @@ def test_folded_and_long_words_agree_at_the_limit(spark, model):
     df = spark.createDataFrame([(w,) for w in words], "word string").repartition("word")
     long_words = LongWords(vocabulary)
     assert {r["word"]: bytes(r["ids"]) for r in encode_words(df, vocabulary).where(F.length("word") <= 60).collect()} == {w: long_words.encode(w) for w in words}
+
+
+@pytest.mark.parametrize("limit", [100_000, 2])
+def test_copies_and_repeated_rows_make_no_large_group(spark, model, limit, monkeypatch):
+    from sparkaudit.operators import scale
+    vocabulary, library = model
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(pieces, "COMMON", 0)
+    monkeypatch.setattr(pieces, "COPIES", 4, raising=False)
+    text = "only copies hold these words"
+    rows = [(7, text)] * 60 + [(100 + i, text) for i in range(60)] + [(300, "these others"), (301, "x" * 80 + " words"), (302, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lattices, encode_words = [], pieces.encode_words
+    monkeypatch.setattr(pieces, "encode_words", lambda words, *a: lattices.append(words) or encode_words(words, *a))
+    got = encode(df, vocabulary).collect()
+    assert len(got) == len(rows) and all(r["ids"] == (library.encode(r["text"]) if r["text"] else []) for r in got)
+    for words in lattices:
+        assert not any(kind.startswith("array") for _, kind in words.dtypes)
+        found = [r["word"] for r in words.collect()]
+        assert len(found) == len(set(found))
+    keys = df.withColumn("_key", F.xxhash64("text", F.pmod(F.xxhash64("doc_id"), F.lit(4))))
+    common = spark.createDataFrame([], "word string")
+    groups = pieces.rare_words(keys, common, vocabulary, "text").collect()
+    assert len(groups) <= 4 + 2 and max(len(r["_pairs"]) for r in groups) == len(text.split())
+
+
+def test_a_lost_word_is_an_error(spark, model, monkeypatch):
+    vocabulary, _ = model
+    encode_words = pieces.encode_words
+    monkeypatch.setattr(pieces, "encode_words", lambda *a: encode_words(*a).where(F.col("word") != MARK + "lost"))
+    df = spark.createDataFrame([(1, "a lost word")], "doc_id long, text string")
+    with pytest.raises(Exception, match="lost the word"):
+        encode(df, vocabulary).collect()
