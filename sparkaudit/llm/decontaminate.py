@@ -75,15 +75,15 @@ class Seeds:
         for item, shift in self.hits(hashes):
             words = self.words[item]
             first, last = max(0, -shift), min(len(words), len(hashes) - shift)
-            equal = words[first:last] == hashes[first + shift:last + shift]
+            # positions of the item outside the document are unequal
+            equal = np.zeros(len(words), dtype=bool)
+            equal[first:last] = words[first:last] == hashes[first + shift:last + shift]
             span = min(WINDOW, len(words))
-            if len(equal) < span:
-                continue
             total = np.concatenate([[0], np.cumsum(equal)])
             good = np.flatnonzero(total[span:] - total[:-span] >= span - allowed(len(words)))
             if len(good):
-                start, end = good[0], good[-1] + span
-                found = (int(total[end] - total[start]), -int(start + first + shift), -int(start + first), int(end - start))
+                start, end = max(good[0], first), min(good[-1] + span, last)
+                found = (int(total[end] - total[start]), -int(start + shift), -int(start), int(end - start))
                 key = self.ids[item]
                 best[key] = max(best.get(key, found), found)
         return {k: (m, -s, -i, n) for k, (m, s, i, n) in best.items()}
@@ -114,8 +114,8 @@ def find_overlaps(docs, bench, id_col="doc_id", text="text", item_id="item_id",
     """One row per document and benchmark item that overlap: ids, ``start``, ``item_start``, ``n_words``, ``n_equal``.
 
     They overlap when on one alignment a window of ``WINDOW`` words (the whole item, if shorter) has at least
-    ``IDENTITY`` of its words equal; the row spans the first to the last such window of the best alignment (most equal
-    words, then the smallest start). Positions count words. Only substitutions are tolerated, within one alignment.
+    ``IDENTITY`` of its words equal, where words of the item beyond the document's ends are unequal; the row spans the first to the last such window of the best alignment (most equal
+    words, then the smallest start), as far as it is in the document. Positions count words. Only substitutions are tolerated, within one alignment.
     Missing or empty texts and items under ``LEAST_WORDS`` words overlap nothing. A repeated row gives repeated rows,
     a repeated item one. The documents are read once per pass of the benchmark and never shuffled.
     """

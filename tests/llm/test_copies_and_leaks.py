@@ -134,3 +134,15 @@ def test_overlaps_equal_trying_all_alignments(spark, limit, monkeypatch):
     assert decontaminate(df, bench).columns == df.columns
     assert find_overlaps(df.where("false"), bench).collect() == [] and find_overlaps(df, bench.where("false")).collect() == []
     assert decontaminate(df, bench.where("false")).count() == len(docs) + 1
+
+
+def test_overlaps_at_the_ends_of_a_document(spark):
+    item = " ".join(f"i{k}" for k in range(15))
+    cut = lambda a, b: " ".join(item.split()[a:b])
+    pad = " ".join(f"p{k}" for k in range(20))
+    docs = [f"{cut(1, 15)} {pad}", f"{pad} {cut(0, 12)}", cut(2, 14), f"{cut(3, 15)} {pad}", f"{pad} {cut(3, 15)} {pad}",
+            f"{cut(4, 15)} {pad}", cut(0, 11), f"{cut(3, 14)} other {pad}"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = find_overlaps(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    got = {r["doc_id"]: (r["start"], r["item_start"], r["n_words"], r["n_equal"]) for r in rows}
+    assert got == {0: (0, 1, 14, 14), 1: (20, 0, 12, 12), 2: (0, 2, 12, 12), 3: (0, 3, 12, 12), 4: (17, 0, 15, 12)}
