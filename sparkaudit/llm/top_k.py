@@ -142,11 +142,12 @@ def top_k(vectors, queries, k=K, id_col="vec_id", vec_col="embedding"):
     Components are floor(256 * x). Columns: query_id, rank (from 1), vec_id, score. Rows with the id of the query are
     its own and no candidates; ties go to the smaller id; fewer candidates give fewer rows. Missing ids, and vectors
     that are missing or hold a missing or non-finite component, take no part. Vectors of different length never meet.
-    Queries with the same id and repeated candidates count once. Whole numbers below 2**53 are exact in every sum, so
+    Rows equal in id and vector count once; rows that share an id but not the vector are candidates each, and as queries
+    share one ranking. Whole numbers below 2**53 are exact in every sum, so
     components may reach 2**23 at 64 parts. Rows are spread by id: a vector that many rows share fills no single shard.
     """
-    rows = materialise(whole_vectors(vectors, id_col, vec_col).dropDuplicates(["_id"]))
-    asked = materialise(whole_vectors(queries, id_col, vec_col).dropDuplicates(["_id"]))
+    rows = materialise(whole_vectors(vectors, id_col, vec_col).dropDuplicates(["_id", "_v"]))
+    asked = materialise(whole_vectors(queries, id_col, vec_col).dropDuplicates(["_id", "_v"]))
     n, q = stored_rows(rows), stored_rows(asked)
     query_blocks = max(1, -(-q // BLOCK))
     asked = blocks_of(asked, "_block", BLOCK, q)

@@ -144,3 +144,12 @@ def test_a_lost_word_is_an_error(spark, model, monkeypatch):
     df = spark.createDataFrame([(1, "a lost word")], "doc_id long, text string")
     with pytest.raises(Exception, match="lost the word"):
         encode(df, vocabulary).collect()
+
+
+def test_rows_that_share_an_id_are_candidates_each(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (50, [0.0, 2.0]), (50, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in top_k.top_k(df, df.where("vec_id % 50 = 0"), 4).collect()]
+    one = 256 * 256
+    assert sorted(got) == [(0, 1, 1, 3 * one), (0, 2, 2, 2 * one), (0, 3, 50, one), (0, 4, 1, one // 2),
+                           (50, 1, 1, 3 * one), (50, 2, 2, 2 * one), (50, 3, 3, 2 * one), (50, 4, 0, one)]
