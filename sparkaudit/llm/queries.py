@@ -10,9 +10,12 @@ from .jaccard_join import similar_documents
 from .language import identify_languages
 from .line_dedup import drop_frequent_lines
 from .main_text import extract_text
+from .one_bit_search import nearest
 from .pii import BASE, find_pii, span_list
 from .pieces import decode, encode, load_vocabulary
 from .quality import classify_quality
+from .sharded_lloyd import CLUSTERS, DIMS, ROUNDS, cluster
+from .source_divergence import source_divergence
 from .top_k import top_k
 from .url_filter import judge_urls, rule_table, site_rule, word_rule
 
@@ -85,15 +88,75 @@ def op10_jaccard_join(spark, sf_dir):
     return similar_documents(docs).select("doc_id", "class_id", "copy_of", "n_links")
 
 
+def op11_clusters(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return cluster(rows).drop("centroid")
+
+
+def op12_nearest(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang", "source")
+    return source_divergence(docs)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_decontamination, op3_top_k, op4_pieces, op5_url_filter, op6_line_dedup, op7_language, op8_pii,
-    op9_main_text, op10_jaccard_join)}
+    op9_main_text, op10_jaccard_join, op11_clusters, op12_nearest, op13_source_divergence)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _WORDS = "|".join(w.replace("-", "[^0-9A-Za-z/]") for w in SPAM_WORDS)
 _RULES = ", ".join(f"('{site}', '{site.split('/', 1)[0]}', '/{site.split('/', 1)[1]}', '{verdict}')" for site, verdict in SITE_RULES)
 
+# Lloyd's rounds, one after another: assignment, then the floors of the means.
+_NEAREST = """a{r} AS (SELECT r, arg_min(c, (d, c)) AS c, CAST(min(d) AS BIGINT) AS d FROM (
+  SELECT v.r, m.c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM l v JOIN m{r} m USING (i) GROUP BY v.r, m.c) GROUP BY r)"""
+_MOVED = """s{r} AS (SELECT a.c, l.i, sum(l.x) AS s, count(*) AS n FROM a{p} a JOIN l USING (r) GROUP BY a.c, l.i),
+m{r} AS (SELECT m.c, m.i, CAST(CASE WHEN s.n IS NULL THEN m.x ELSE (s.s - (((s.s % s.n) + s.n) % s.n)) // s.n END AS BIGINT) AS x
+  FROM m{p} m LEFT JOIN s{r} s USING (c, i))"""
+_ROUNDS = ",\n".join([_NEAREST.format(r=0)] + [
+    f"{_MOVED.format(r=r, p=r - 1)},\n{_NEAREST.format(r=r)}" for r in range(1, ROUNDS + 1)])
+
 ORACLES = {
+    "op11_clusters": f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings WHERE len(embedding) = {DIMS} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+l AS MATERIALIZED (SELECT r, unnest(e) AS x, unnest(range({DIMS})) AS i FROM v),
+m0 AS (SELECT c, unnest(e) AS x, unnest(range({DIMS})) AS i FROM (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, e) - 1 AS INTEGER) AS c, e FROM v) WHERE c < {CLUSTERS}),
+{_ROUNDS}
+SELECT v.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h.h AS centroid_sha256
+FROM a{ROUNDS} a JOIN v USING (r)
+JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM m{ROUNDS} GROUP BY c) h USING (c)""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+  translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT g.lang, g.source, k.term, COALESCE(n, 0) AS n FROM g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) o
+  ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+p AS MATERIALIZED (SELECT *, CAST(1 + (1000000000::HUGEINT * (n + 2)) //
+  (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p FROM c),
+q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 2)) //
+  (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, (p - q) * (p - q) // (p + q) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term
+  WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
     "op3_top_k": """
 WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
