@@ -15,9 +15,9 @@ K = 10
 # Bits of a code per component, and how many standard errors of the estimate the bound allows.
 BITS, SURE = 4, 2.5
 # Vectors of a cell, and cells; cells are fitted on about SAMPLE rows, whatever the size of the table.
-CELL, MOST_CELLS, SAMPLE, FIT_ROUNDS = 8192, 4096, 16384, 6
+CELL, MOST_CELLS, SAMPLE, FIT_ROUNDS = 4096, 4096, 16384, 6
 # Vectors that one task holds, queries of one stream of a task, queries compared at once.
-PART, STREAM, BATCH = 16384, 262_144, 128
+PART, STREAM, BATCH = 4096, 262_144, 128
 FAR = float("inf")
 
 
