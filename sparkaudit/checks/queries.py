@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash60, parse_date
 from ..operators import contract, duplicates, leakage, legacy, plant, properties, robust, rootcause, score, splits
-from ..operators import iforest, models
+from ..operators import iforest, links, models
 from ..operators.dates import invalid_date, invalid_dates
 from ..operators.scale import attach
 from ..plans import audit, validation
@@ -446,6 +446,7 @@ QUERIES = {
     "invalid_dates": on_listings(invalid_dates, RID, "prev_sold_date"),
     "listing_duplicates": on_listings(duplicates.duplicates, RID),
     "duplicate_key_sizes": on_listings(partial(duplicates.key_sizes, key=LISTING_KEY)),
+    "duplicate_links": on_listings(links.duplicate_links),
     "multi_key_records": on_listings(duplicates.multi_key_records, RID),
     "group_robust_stats": line_group_stats,
     "robust_stats_fallback": stats_fallback,

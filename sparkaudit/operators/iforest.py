@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.columns import hash60, unit
 from ..schema import RID
-from ..session import materialise
+from ..session import materialise, stored_rows
 from .robust import GROUP, attach_stats, price_groups, price_measures, price_stats
 from .scale import group_quantiles, value_counts
 
@@ -133,10 +133,24 @@ def score(df, columns, nodes, sample=SAMPLE, name="anomaly"):
     return df.withColumn(name, anomaly(*[F.col(c) for c in columns]))
 
 
+def model_columns(price_only):
+    names = PRICE_FEATURES if price_only else FEATURES
+    return [*names, *[f"{c}_na" for c in names]]
+
+
 def isolation_forest(df, seed=0, price_only=False, stats=None):
     """(rid, score) of every record."""
-    names = PRICE_FEATURES if price_only else FEATURES
-    columns = [*names, *[f"{c}_na" for c in names]]
+    columns = model_columns(price_only)
     x = features(df, price_only, stats).select(RID, *columns)
     size = min(SAMPLE, df.count())
     return score(x, columns, fit(x, columns, seed), size, "score").select(RID, "score")
+
+
+def both_forests(df, seed=0, stats=None):
+    """Stored (rid, all_features, price_features): the scores of both forests, from features stored once and in one pass."""
+    x = materialise(features(df, False, stats).select(RID, *model_columns(False)))
+    size, scored = min(SAMPLE, stored_rows(x)), x
+    for name, price_only in (("all_features", False), ("price_features", True)):
+        columns = model_columns(price_only)
+        scored = score(scored, columns, fit(x, columns, seed), size, name)
+    return materialise(scored.select(RID, "all_features", "price_features"))

@@ -44,10 +44,12 @@ class Stage:
 
 @dataclass(frozen=True)
 class Planted:
-    """The corrupted table, its labels (rid, family, subtype), and the rows that each stage wrote."""
+    """The corrupted table, its labels (rid, family, subtype), the rows that each stage wrote, and the edited records as
+    they were."""
     table: DataFrame
     labels: DataFrame
     changes: DataFrame
+    before: DataFrame
 
 
 def date_stages(spec, seed):
@@ -185,4 +187,4 @@ def plant(df, seed, spec=None) -> Planted:
                              subtype.alias("subtype"), *[c for c in df.columns if c != RID])
     marked = df.withColumn("_u", hash60(seed, F.col(RID))).withColumn("_stage", stage_of(plan, found))
     table = changed(marked, plan, False).select(df.columns).unionByName(copies.select(df.columns))
-    return Planted(table, labels, changes)
+    return Planted(table, labels, changes, hits.where(~is_copy).select(df.columns))

@@ -33,10 +33,17 @@ def measure_counts(df, measures, groups):
         F.count(F.lit(1)).alias("n"))
 
 
+STATS_KEY = ["level", "key", "measure"]
+
+
 def robust_stats(df, measures, groups) -> DataFrame:
     """Stored (level, key, measure, n, med, mad), exact."""
-    by = ["level", "key", "measure"]
-    counts = materialise(measure_counts(df, measures, groups))
+    return stats_of_counts(materialise(measure_counts(df, measures, groups)))
+
+
+def stats_of_counts(counts):
+    """``robust_stats`` from stored counts of each value."""
+    by = STATS_KEY
     medians = materialise(group_quantiles(counts, by, [0.5], names=["med"], stored=True))
     centred = attach(counts.withColumnRenamed("n", "w"), medians, by, "n", stored=True)
     deviations = centred.groupBy(*by, F.abs(F.col("v") - F.col("med")).alias("v")).agg(F.sum("w").alias("n"))
@@ -45,6 +52,24 @@ def robust_stats(df, measures, groups) -> DataFrame:
     return materialise(medians.join(mads, by))
 
 
+def updated_stats(counts, stats, gone, come, measures, groups):
+    """The statistics of a table after the records ``gone`` have left it and the records ``come`` have entered.
+
+    ``counts`` and ``stats`` are the stored ones of the table before. Only groups that lose or gain a record are computed
+    anew, from their counts less those gone and plus those come.
+    """
+    by = STATS_KEY
+    change = measure_counts(come, measures, groups).unionByName(
+        measure_counts(gone, measures, groups).withColumn("n", -F.col("n")))
+    change = materialise(change.groupBy(*by, "v").agg(F.sum("n").alias("n")).where(F.col("n") != 0))
+    # a group's weight: how often its counts change
+    touched = materialise(change.groupBy(*by).agg(F.count(F.lit(1)).alias("_touched")))
+    before = attach(counts, touched, by, "_touched", stored=True).drop("_touched")
+    after = before.unionByName(change).groupBy(*by, "v").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
+    kept = stats.join(touched, by, "left_anti")
+    return materialise(kept.unionByName(stats_of_counts(materialise(after))))
+
+
 def mad_floors(stats, quantile=MAD_FLOOR_QUANTILE, min_n=MIN_GROUP_SIZE):
     """(measure, mad_floor): a low quantile of the MADs of all groups of a fair size. No such group, no row."""
     mads = (stats.where((F.col("level") == GROUP) & (F.col("n") >= min_n))

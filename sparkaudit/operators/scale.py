@@ -16,9 +16,9 @@ BROADCAST_ROWS = 100_000
 HEAVY_KEYS = 1_000
 # Value-count rows of a whole table that one task could hold, should they all belong to one group.
 DIRECT_VALUES = 4_000_000
-# Cells that the range of the values at hand is cut into, evenly in ln(1+|v|).
-CELLS = 1 << 20
-OUTER_CELL = 2 ** 40
+# Bits of an ordering key that one round of a descent settles, and distinct values that one task may put in order.
+RADIX_BITS = 16
+CELL_VALUES = 1_000_000
 
 
 def attach(rows, stats, keys, weight, how="inner", stored=False):
@@ -60,25 +60,26 @@ def beside(rows, *one_rows):
     return rows
 
 
-def cells_over(df, column):
-    """A function from numbers to coarse integer positions that never decrease as the number grows.
+def ordering_key(value):
+    """A bigint that orders doubles as they are ordered, one per value: the bits of the magnitude, with its sign.
 
-    The cells cover the range that the finite values of ``column`` have, so a narrow range is resolved as finely as a
-    wide one.
+    The exponent is found by a logarithm and put right by one step, the mantissa by exact divisions; both zeros are 0.
     """
-    def scaled(x):
-        return F.signum(x) * F.log1p(F.abs(x))
+    size = F.abs(value)
+    guess = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("double")
 
-    inf = F.lit(float("inf"))
-    finite = F.when(F.abs(column) < inf, scaled(column))
-    low, high = df.agg(F.min(finite), F.max(finite)).first()
-    width = (high - low) / CELLS if low is not None and high > low else 1.0
+    def power(e):
+        return F.pow(F.lit(2.0), e)
 
-    def cell_of(value):
-        fine = F.floor((scaled(value) - F.lit(low or 0.0)) / F.lit(width)).cast("bigint")
-        return F.when(value == inf, F.lit(OUTER_CELL)).when(value == -inf, F.lit(-OUTER_CELL)).otherwise(fine)
-
-    return cell_of
+    exponent = (F.when(size < power(guess), guess - 1)
+                .when((guess < 1023) & (size / power(guess) >= 2), guess + 1).otherwise(guess))
+    fraction = ((size / power(exponent) - 1) * F.lit(float(1 << 52))).cast("bigint")
+    bits = (F.when(size == 0, F.lit(0).cast("bigint"))
+            .when(size == F.lit(float("inf")), F.lit(2047 << 52))
+            # below the normal range: multiples of 2**-1074
+            .when(size < F.lit(2.0 ** -1022), (size * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint"))
+            .otherwise((exponent.cast("bigint") + 1023) * F.lit(1 << 52) + fraction))
+    return F.when(value < 0, -bits).otherwise(bits)
 
 
 def group_quantiles(counts, keys, probs, value="v", weight="n", names=None, stored=False, small=None):
@@ -100,47 +101,63 @@ def group_quantiles(counts, keys, probs, value="v", weight="n", names=None, stor
 
 
 def quantiles_by_cells(counts, keys, probs, value, weight, names):
-    """``group_quantiles`` of groups of any size.
+    """``group_quantiles`` of groups of any size, whatever their values.
 
-    First the cell that holds each wanted rank is found from cell totals, then only the values of those cells
-    are ordered. No task sees more of a group than its cell totals or one cell.
+    Descends over ordering keys, ``RADIX_BITS`` a round, all groups and ranks at once: the totals of at most 2**RADIX_BITS
+    cells say which cell holds a wanted rank, and only the values of those cells are looked at again. It ends when every
+    such cell has at most ``CELL_VALUES`` distinct values (after four rounds a cell is one value); these are ordered.
     """
-    cell_of = cells_over(counts, F.col(value))
-    celled = counts.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w"),
-                           cell_of(F.col(value)).alias("_cell"))
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = (celled.groupBy(*keys, "_cell").agg(F.sum("_w").alias("_in_cell"))
-             .withColumn("_total", F.sum("_in_cell").over(whole))
-             .withColumn("_end", F.sum("_in_cell").over(upto))
-             .withColumn("_start", F.col("_end") - F.col("_in_cell")))
-
-    def ranks(p):
-        position = (F.col("_total") - 1) * F.lit(float(p))
-        return position, F.floor(position), F.ceil(position)
-
-    def covers(first, end, rank):
-        return (first <= rank) & (rank < end)
-
-    wanted = cells.where(reduce(lambda a, b: a | b, [
-        covers(F.col("_start"), F.col("_end"), rank) for p in probs for rank in ranks(p)[1:]]))
-    within = (Window.partitionBy(*keys, "_cell").orderBy("_v")
+    bounds = [a.alias(n) for p, name in zip(probs, names, strict=True)
+              for a, n in zip(rank_ends(p), (f"_at_{name}", f"_lo_{name}", f"_hi_{name}"), strict=True)]
+    ranks = [f"_{end}_{name}" for name in names for end in ("lo", "hi")]
+    totals = counts.groupBy(*keys).agg(F.sum(weight).alias("_total")).select(*keys, "_total", *bounds)
+    # the ranks of a group travel with its cells, at most two per quantile
+    plain = counts.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w"),
+                          ordering_key(F.col(value)).alias("_k"))
+    held, within = None, plain.withColumns({"_cell": F.lit(0).cast("bigint"), "_start": F.lit(0).cast("bigint")})
+    for shift in range(64 - RADIX_BITS, -1, -RADIX_BITS):
+        fine = F.shiftright("_k", shift)
+        cells = (within.groupBy(*keys, "_cell", "_start", fine.alias("_next"))
+                 .agg(F.sum("_w").alias("_in"), F.count(F.lit(1)).alias("_rows")))
+        upto = (Window.partitionBy(*keys, "_cell").orderBy("_next")
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        cells = cells.withColumn("_end", F.col("_start") + F.sum("_in").over(upto))
+        wanted = cells.withColumn("_start", F.col("_end") - F.col("_in")).drop("_cell")
+        ends = totals.select(*keys, *ranks) if held is None else held.select(*keys, *ranks).distinct()
+        joined = wanted.join(ends, keys) if keys else beside(wanted, ends)
+        hit = reduce(lambda a, b: a | b, [(F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end")) for r in ranks])
+        held = materialise(joined.where(hit).select(*keys, F.col("_next").alias("_cell"), "_start", "_rows", *ranks))
+        within = attach(plain.withColumn("_cell", fine), held.select(*keys, "_cell", "_start", "_rows"), [*keys, "_cell"],
+                        "_rows", stored=True).drop("_rows")
+        if (held.agg(F.max("_rows")).first()[0] or 0) <= CELL_VALUES:
+            break
+    inside = (Window.partitionBy(*keys, "_cell").orderBy("_k")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (celled.join(wanted.select(*keys, "_cell", "_total", "_start"), [*keys, "_cell"])
-              .withColumn("_end", F.col("_start") + F.sum("_w").over(within))
+    ranked = (within.withColumn("_end", F.col("_start") + F.sum("_w").over(inside))
               .withColumn("_first", F.col("_end") - F.col("_w")))
-    picks, out = [F.max("_total").alias("_total")], []
-    for name, p in zip(names, probs, strict=True):
-        position, low, high = ranks(p)
-        picks.append(F.max(F.when(covers(F.col("_first"), F.col("_end"), low), F.col("_v"))).alias(f"_low_{name}"))
-        picks.append(F.max(F.when(covers(F.col("_first"), F.col("_end"), high), F.col("_v"))).alias(f"_high_{name}"))
-        low_v, high_v = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+    ranked = ranked.join(totals, keys) if keys else beside(ranked, totals)
+
+    def at(rank):
+        return F.max(F.when((F.col("_first") <= F.col(rank)) & (F.col(rank) < F.col("_end")), F.col("_v")))
+
+    picks = [at(r).alias(f"_v{r}") for r in ranks] + [F.max(c).alias(c) for c in (
+        "_total", *[f"_{end}_{name}" for name in names for end in ("at", "lo", "hi")])]
+    out = []
+    for name in names:
+        position, low, high = (F.col(f"_{end}_{name}") for end in ("at", "lo", "hi"))
+        low_v, high_v = F.col(f"_v_lo_{name}"), F.col(f"_v_hi_{name}")
         # the same sum as Spark's ``percentile``, so that both ways agree to the last bit
         out.append(F.when((low == high) | (low_v == high_v), low_v)
                    .otherwise((high - position) * low_v + (position - low) * high_v).alias(name))
     return ranked.groupBy(*keys).agg(*picks).select(*keys, F.col("_total").alias("n"), *out)
 
 
+def rank_ends(p):
+    """Where a quantile lies among ``_total`` ordered values, counted from 0, and the whole ranks around it."""
+    position = (F.col("_total") - 1) * F.lit(float(p))
+    return position, F.floor(position), F.ceil(position)
+
+
 def value_counts(rows, keys, value):
     """Stored rows for ``group_quantiles``: occurrences of each non-missing value per group, combined before the
     shuffle."""
@@ -148,25 +165,69 @@ def value_counts(rows, keys, value):
             .groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")))
 
 
-def running_totals(df, value, sums, descending=False):
-    """Cumulative sums of the columns ``sums`` over distinct values of ``value``, in its order.
+def in_ranges(rows, order):
+    """``rows`` stored in ranges of about ``CELL_VALUES`` rows along the columns ``order``, numbered by ``_cell``.
+
+    The boundaries are taken from the rows themselves, so no range is large however the values are packed; rows that are
+    equal in ``order`` share a range.
+    """
+    rows = materialise(rows)
+    parts = max(1, -(-stored_rows(rows) // CELL_VALUES))
+    if parts == 1:
+        return rows.withColumn("_cell", F.lit(0))
+    # stored, as the boundaries are sampled anew each time they are asked for
+    return materialise(rows.repartitionByRange(parts, *order).withColumn("_cell", F.spark_partition_id()))
+
+
+def running_totals(df, order, sums, descending=False):
+    """Cumulative sums of the columns ``sums`` along the column or columns ``order``, whose values hardly repeat.
 
-    Adds ``cum_<column>``. Cell totals are accumulated first, then each cell is accumulated on its own from the
-    total before it, so the order is global but no task sorts more than one cell.
+    Adds ``cum_<column>``. Totals of ranges are accumulated first, then each range on its own from the total before it, so
+    the order is global but no task sorts more than one range.
     """
+    order = [order] if isinstance(order, str) else order
+    celled = in_ranges(df, order)
     way = F.desc if descending else F.asc
-    celled = df.withColumn("_cell", cells_over(df, F.col(value))(F.col(value)))
     before = (Window.partitionBy(F.lit(0)).orderBy(way("_cell"))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cells = celled.groupBy("_cell").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    # one row per range: a millionth of the values
     offsets = cells.select("_cell", *[(F.sum(f"_sum_{c}").over(before) - F.col(f"_sum_{c}")).alias(f"_before_{c}")
                                       for c in sums])
-    inside = (Window.partitionBy("_cell").orderBy(way(value))
+    inside = (Window.partitionBy("_cell").orderBy(*map(way, order))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (celled.join(offsets, "_cell")
             .select(*df.columns, *[(F.col(f"_before_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sums]))
 
 
+def smallest_of_groups(df, column, group, ranks, bits=60):
+    """{(group, k): the k-th smallest value of a non-negative integer column in that group}, for ``ranks`` {group: [k]}.
+
+    A rank of 0 gives -1, one beyond the group's size None. Descends 12 bits at a time, all groups and ranks in one job,
+    through counts of at most 4096 prefixes each: no task gathers values. Groups are a few, named by the caller.
+    """
+    out = {(g, k): -1 for g, ks in ranks.items() for k in ks if k <= 0}
+    todo = {(g, k): (0, k) for g, ks in ranks.items() for k in ks if k > 0}      # prefix so far, rank within it
+    for shift in range(bits - 12, -1, -12):
+        known = sorted({(g, prefix) for (g, _), (prefix, _) in todo.items()}, key=str)
+        if not known:
+            break
+        hit = reduce(lambda a, b: a | b, [(F.col(group) == g) & (F.shiftright(column, shift + 12) == F.lit(p)) for g, p in known])
+        counts = {}
+        for g, p, n in (df.where(hit).groupBy(group, F.shiftright(column, shift)).count()).collect():
+            counts.setdefault((g, p >> 12), []).append((p, n))
+        for at, (prefix, rank) in list(todo.items()):
+            for p, n in sorted(counts.get((at[0], prefix), [])):
+                if rank <= n:
+                    todo[at] = (p, rank)
+                    break
+                rank -= n
+            else:
+                out[at] = None
+                del todo[at]
+    return out | {at: prefix for at, (prefix, _) in todo.items()}
+
+
 def kth_smallest(df, column, k, bits=60, bounded=False):
     """The ``k``-th smallest value of a non-negative integer column as a Python int; None when there are fewer.
 

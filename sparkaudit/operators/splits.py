@@ -8,7 +8,7 @@ from ..functions.columns import all_present, hash60, parse_date, unit
 from ..schema import MODEL_FEATURES, MODEL_PRICE_RANGE, PROPERTY_KEY, RID
 from ..session import materialise
 from .properties import property_text, with_property
-from .scale import attach, group_quantiles, kth_smallest, value_counts
+from .scale import attach, group_quantiles, kth_smallest, smallest_of_groups, value_counts
 
 
 def add_code(df, column, name):
@@ -57,13 +57,11 @@ def training_rows(split, shares, seed):
     train = split.where(~F.col("is_test")).withColumn("_u", hash60("keep", seed, F.col(RID)))
     hashes = materialise(train.select("twin", "_u"))
     n_twins, n_others = hashes.agg(F.count_if("twin"), F.count_if(~F.col("twin"))).first()
-    out = {}
-    for share in shares:
-        keep = round(share * n_twins)
-        twins = kth_smallest(hashes.where("twin"), "_u", keep)
-        others = kth_smallest(hashes.where("not twin"), "_u", max(n_others - keep, 0))
-        out[share] = train.where(F.when(F.col("twin"), F.col("_u") <= twins).otherwise(F.col("_u") <= others)).drop("_u")
-    return out
+    kept = {share: (round(share * n_twins), max(n_others - round(share * n_twins), 0)) for share in shares}
+    cutoff = smallest_of_groups(hashes, "_u", "twin", {True: [k for k, _ in kept.values()], False: [k for _, k in kept.values()]})
+    return {share: train.where(F.when(F.col("twin"), F.col("_u") <= cutoff[True, twins])
+                               .otherwise(F.col("_u") <= cutoff[False, others])).drop("_u")
+            for share, (twins, others) in kept.items()}
 
 
 def grouped_split(df, seed, test_share=0.2):

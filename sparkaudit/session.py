@@ -1,7 +1,9 @@
-"""Session settings and the one way this library cuts lineage."""
+"""Session settings, jobs side by side, and the one way this library cuts lineage."""
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ def build_session(app_name="sparkaudit", master=None, **conf):
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # jobs of several threads share the executors evenly
+        "spark.scheduler.mode": "FAIR",
         # exact percentiles of many small groups stay hash-based; the tables they run on are of checked size
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
         **conf,
@@ -63,3 +67,25 @@ def stored_rows(df: DataFrame) -> int:
     """Rows of a stored table; counted from the file footers when it was not written here."""
     known = df.__dict__.get("_stored_rows")
     return df.count() if known is None else known
+
+
+def side_by_side(spark, jobs, limit):
+    """The results of the functions ``jobs``, in their order. At most ``limit`` run at a time, each as Spark jobs in a
+    scheduler pool of its own; they inherit the caller's local properties. After a failure no further one starts."""
+    checkpoint_dir(spark)       # set up once, before threads ask for it
+    failed = []
+
+    def run(at, job):
+        if failed:
+            return None
+        try:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"side-{at % limit}")
+            return job()
+        except BaseException:
+            failed.append(at)
+            raise
+
+    with ThreadPoolExecutor(max(1, limit)) as threads:
+        running = [threads.submit(inheritable_thread_target(spark)(run), at, job) for at, job in enumerate(jobs)]
+    # the first failure in the order of the jobs, once all have stopped
+    return [r.result() for r in running]

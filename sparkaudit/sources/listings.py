@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import not_nan, number_or_null
 from ..operators.scale import attach
 from ..schema import LISTING_COLUMNS, LISTING_TYPES, NULL_TOKENS, RID
+from .quoted import lines_of_files, quote_parity, read_quoted
 
 # Listings derived from ``orders``, with defects of every family at known keys. Plain SQL that runs on any engine.
 LISTINGS_SQL = """
@@ -58,23 +59,24 @@ def normalise(df):
                        for c in df.columns])
 
 
-def has_quoted_line_breaks(spark, path):
-    """Whether some line has an odd number of quotes, so that a quoted field goes on in the next line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
 def read_raw_csv(spark, path, line_breaks=None):
     """Every column as text, with the texts that stand for a missing value nulled. Checks come later.
 
     The header names the columns, so missing or extra ones stay visible to the contract. Quotes inside a quoted field
-    are doubled; a backslash is an ordinary character. A file with line breaks inside quotes is read whole by one task,
-    any other is split; ``line_breaks`` says which, and without it the lines are looked through first. A row that does
-    not have the header's columns is an error, never a shifted or shortened record.
+    are doubled; a backslash is an ordinary character. Any file is split over tasks; one with line breaks inside quotes
+    is cut into records first. ``line_breaks`` says whether there are any, and without it the quotes of each line are
+    looked through first. A row that does not have the header's columns is an error, never a shifted or shortened record.
     """
-    whole = has_quoted_line_breaks(spark, path) if line_breaks is None else line_breaks
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
-           .option("multiLine", whole).option("mode", "FAILFAST").csv(path))
+    blocks = lines = None
+    if line_breaks is None:
+        lines = lines_of_files(spark, path)
+        blocks = quote_parity(lines)
+        line_breaks = not blocks.where("odd_lines > 0").isEmpty()
+    if line_breaks:
+        raw = read_quoted(spark, path, blocks, lines)
+    else:
+        raw = (spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
+               .option("mode", "FAILFAST").csv(path))
     return raw.select(*[F.when(~F.col(f"`{c}`").isin(NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 

@@ -125,7 +125,7 @@ def test_metrics_and_mechanism(spark):
 
 
 @pytest.mark.parametrize(("model", "settings"), [
-    (models.RIDGE, {}), (models.BOOSTING, {"maxIter": 3}), (models.FOREST, {"numTrees": 3, "maxDepth": 5})])
+    (models.RIDGE, {}), (models.BOOSTING, {"iterations": 3}), (models.FOREST, {"trees": 3, "depth": 5})])
 def test_models_predict_every_test_row(split, model, settings):
     data = materialise(models.matrix(split, model))
     test = data.where("is_test")
@@ -165,7 +165,7 @@ def test_spearman_with_ties(spark):
     assert got["rho"] == pytest.approx(np.corrcoef(*ranks)[0, 1])
 
 
-SMALL = {models.FOREST: {"numTrees": 2, "maxDepth": 3}}
+SMALL = {models.FOREST: {"trees": 2, "depth": 3}}
 
 
 def test_leakage_conditions_and_stored_results(spark, listings, tmp_path):

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as registry  # noqa: E402
 
 CHECKED = ["scan_listings", "replace_partition_results", "contract_coercion", "contract_categories",
-           "expectation_report", "invalid_dates", "listing_duplicates", "modified_z", "price_robust_z", "audit_report",
+           "expectation_report", "invalid_dates", "listing_duplicates", "duplicate_links", "modified_z", "price_robust_z", "audit_report",
            "full_audit", "report_lines", "legacy_price_manipulation", "plant_all", "flag_metrics", "average_precision",
            "r_precision", "matched_training_rows", "regression_metrics", "twin_anatomy", "grouped_split",
            "lifecycle_pairs", "broker_rollup", "review_tallies", "spearman_customers", "iforest_features"]

@@ -1,9 +1,13 @@
+import struct
+
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkaudit.operators import scale
-from sparkaudit.operators.scale import attach, group_quantiles, kth_smallest, running_totals, value_counts
+from sparkaudit.operators.scale import attach, group_quantiles, kth_smallest, running_totals, smallest_of_groups, value_counts
 
 
 @pytest.fixture(scope="module")
@@ -39,14 +43,58 @@ def test_both_ways_of_quantiles_agree_to_the_last_bit(rows, small_limits):
     assert by_cells == direct
 
 
-def test_a_narrow_range_is_spread_over_many_cells(spark, small_limits):
-    values = [0.5 + i * 1e-9 for i in range(2000)] + [float("inf"), float("-inf")]
-    df = spark.createDataFrame([(v, 1) for v in values], "v double, n long")
-    cells = df.select(scale.cells_over(df, F.col("v"))(F.col("v")).alias("c")).distinct().count()
-    assert cells > 1500
-    got = group_quantiles(df, [], [0.25], stored=True).first()
-    assert got["n"] == 2002 and got["q0"] == pytest.approx(np.quantile(values[:-1] + [-1e9], 0.25), abs=1e-12)
-    assert {r["v"]: r["cum_n"] for r in running_totals(df, "v", ["n"]).collect()} == {v: k + 1 for k, v in enumerate(sorted(values))}
+DOUBLES = [0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1074 * 7, 2.0 ** -1022, 2.0 ** -1022 - 5e-324, 1.0, 1.0 - 2 ** -53, 1.0 + 2 ** -52,
+           -1.0, 8.0, 8.0 - 2 ** -50, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 1e-300, 0.1, 3.0]
+
+
+@given(st.lists(st.floats(allow_nan=False), max_size=30))
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+def test_ordering_keys_are_the_bits_of_the_doubles(spark, some):
+    values = DOUBLES + some
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", scale.ordering_key(F.col("v")).alias("k")).collect()
+    for r in got:
+        size = struct.unpack(">q", struct.pack(">d", abs(r["v"])))[0]
+        assert r["k"] == (-size if r["v"] < 0 else size)
+
+
+def packed_values():
+    """All but two of the values lie in a billionth of the range."""
+    return [0.5 + i * 1e-12 for i in range(3000)] + [-1e9, 1e9]
+
+
+@pytest.mark.parametrize("cell_values", [40, 1_000_000])
+def test_packed_values_do_not_meet_in_one_task(spark, small_limits, monkeypatch, cell_values):
+    monkeypatch.setattr(scale, "CELL_VALUES", cell_values)
+    values = packed_values()
+    df = spark.createDataFrame([(g, v, 1 + i % 3) for g in ("a", "b") for i, v in enumerate(values)], "g string, v double, n long")
+    held = []
+    stored = scale.materialise
+    monkeypatch.setattr(scale, "materialise", lambda t: held.append(stored(t)) or held[-1])
+    probs = [0.05, 0.5, 1.0]
+    got = {tuple(r) for r in group_quantiles(df, ["g"], probs, stored=True).collect()}
+    cells = [t for t in held if "_rows" in t.columns]
+    assert len(cells) == (1 if cell_values > 3000 else 4 if cells[-1].agg(F.max("_rows")).first()[0] == 1 else len(cells))
+    assert cells[-1].agg(F.max("_rows")).first()[0] <= max(cell_values, 1)
+    assert got == {tuple(r) for r in group_quantiles(df, ["g"], probs, stored=True, small=True).collect()}
+    one = df.where("g = 'a'").select("v", "n")
+    held.clear()
+    sums, total = {}, 0
+    for v, n in sorted((v, 1 + i % 3) for i, v in enumerate(values)):
+        total += n
+        sums[v] = total
+    assert {r["v"]: r["cum_n"] for r in running_totals(one, "v", ["n"]).collect()} == sums
+    if cell_values == 40:       # ranges follow the values: none holds many times its share
+        sizes = held[-1].groupBy("_cell").count().agg(F.max("count"), F.count("*")).first()
+        assert sizes[0] <= 6 * cell_values and sizes[1] > 30
+
+
+def test_smallest_of_several_groups_at_once(spark):
+    rng = np.random.default_rng(3)
+    values = {g: sorted(int(v) for v in rng.integers(0, 2 ** 60, n)) for g, n in ((True, 40), (False, 300))}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g boolean, u long")
+    got = smallest_of_groups(df, "u", "g", {True: [0, 1, 40, 41], False: [7, 150, 150, 300]})
+    assert got == {(True, 0): -1, (True, 41): None, **{(g, k): values[g][k - 1] for g, k in (
+        (True, 1), (True, 40), (False, 7), (False, 150), (False, 300))}}
 
 
 def test_quantile_of_a_whole_table_and_of_none(rows, small_limits):
