@@ -32,6 +32,8 @@ LONGEST = 60
 COMMON, FIRST_LOOK = 150_000, 20_000
 # Keys over which copies of a text are dealt.
 COPIES = 64
+# Rows of an Arrow batch: each row carries a whole text, its words and its ids.
+BATCH_ROWS = 1_000
 # Words whose lattices one task puts together; a word becomes some thirty rows there.
 TASK_WORDS = 20_000
 # First letters by which the length of substrings is bounded.
@@ -267,6 +269,13 @@ def rare_words(keys, common, vocabulary, text):
             .groupBy("_key").agg(F.collect_list("_pair").alias("_pairs")))
 
 
+def small_batches(spark):
+    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``, where it has more or no limit."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def _packed(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else zlib.compress(t.encode(), 1) for t in texts], dtype=object)
 
@@ -275,8 +284,9 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
     """``docs`` with ``ids`` (array of int) of the whole ``text`` and ``n_tokens``; columns of these names are replaced.
 
     A missing or empty text has no ids. All rows and other columns stay; repeated rows each get their ids. An empty table
-    gives an empty table.
+    gives an empty table. The session's Arrow batches become small.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("ids", "n_tokens")
     common = common_words(docs, vocabulary, id_col, text)
     known = docs.sparkSession.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in common.toLocalIterator()})
@@ -319,6 +329,7 @@ def decode(docs, vocabulary, ids="ids", text="text"):
     Missing ids give a missing text; bytes that are no UTF-8 become the replacement character. A column named ``text``
     is replaced.
     """
+    small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(vocabulary.texts)
 
     def whole(rows: pd.Series) -> pd.Series:
