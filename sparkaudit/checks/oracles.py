@@ -439,6 +439,7 @@ ORACLES = {
     "duplicate_key_sizes": f"""{base()} SELECT n AS group_size, count(*) AS keys, CAST(n * count(*) AS BIGINT) AS records,
       CAST(count(*) * n * (n - 1) / 2 AS DECIMAL(38, 0)) AS candidate_pairs
       FROM (SELECT count(*) AS n FROM t WHERE {present(LISTING_KEY)} GROUP BY {names(LISTING_KEY)}) GROUP BY n""",
+    "isolation_forest_summary": f"{base()} SELECT count(*) AS records, count(*) AS in_range, true AS wrong_units_stand_out FROM t",
     "duplicate_links": f"""{base().replace("WITH", "WITH RECURSIVE", 1)}, pairs AS (SELECT a.rid, b.rid AS other FROM t a JOIN t b
       ON {" AND ".join(f"a.{c} = b.{c}" for c in LISTING_KEY)} AND a.rid <> b.rid WHERE {COMPATIBLE}),
       reach AS (SELECT rid, other FROM pairs UNION SELECT r.rid, p.other FROM reach r JOIN pairs p ON r.other = p.rid)

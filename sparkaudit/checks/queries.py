@@ -13,7 +13,7 @@ from ..plans import audit, validation
 from ..plans import leakage as leakage_plan
 from ..schema import LISTING_KEY, MODEL_FEATURES, RID
 from ..session import checkpoint_dir, materialise
-from ..sources import sinks
+from ..sources import versions
 from ..sources.listings import cast_listings, listings_from_orders, normalise, read_raw_csv, with_row_ids
 from .tables import LABELS_SQL, QUOTED_SQL, RAW_SQL, RECENT_SQL
 
@@ -105,6 +105,16 @@ def forest_features(spark, folder):
     return rounded(iforest.features(listings(spark, folder)).select(RID, *names), *iforest.FEATURES)
 
 
+def isolation_forest_summary(spark, folder):
+    """What holds of any run: every record has a score in (0, 1], and prices in the wrong unit stand out on average."""
+    df = listings(spark, folder)
+    wrong = labels(spark, folder).where("subtype = 'x1000'").select(RID, F.lit(True).alias("wrong"))
+    scored = materialise(iforest.isolation_forest(df, price_only=True)).join(wrong, RID, "left")
+    middle = F.percentile("score", F.lit(0.5))
+    return scored.agg(F.count(F.lit(1)).alias("records"), F.count_if((F.col("score") > 0) & (F.col("score") <= 1)).alias("in_range"),
+                      (F.avg(F.when(F.col("wrong"), F.col("score"))) > middle).alias("wrong_units_stand_out"))
+
+
 def isolation_forest(spark, folder):
     return iforest.isolation_forest(listings(spark, folder))
 
@@ -133,7 +143,10 @@ def replace_results(spark, folder):
     date = F.col("prev_sold_date")
     old = counts(first, "corrected", invalid_date(date)).unionByName(
         counts(first, "original", legacy.placeholder_date(date)))
-    return sinks.replaced(old, counts(again, "corrected", invalid_date(date) | date.startswith("200")))
+    place = f"{checkpoint_dir(spark)}/results/{uuid.uuid4().hex}"
+    versions.publish({"flag_counts": old}, place)
+    versions.publish_over({"flag_counts": counts(again, "corrected", invalid_date(date) | date.startswith("200"))}, place)
+    return versions.latest(spark, place)["flag_counts"]
 
 
 def contract_coercion(spark, folder):
@@ -457,6 +470,7 @@ QUERIES = {
     "price_outliers": price_outliers,
     "iforest_features": forest_features,
     "isolation_forest": isolation_forest,
+    "isolation_forest_summary": isolation_forest_summary,
     "property_ids": on_listings(properties.size_distribution),
     "records_sharing_address": on_listings(properties.records_sharing_address),
     "audit_flags": on_listings(audit.audit_flags, rounds=("price_z",)),

@@ -1,8 +1,9 @@
 """Isolation forest (Liu, Ting & Zhou 2008) on price features.
 
-A tree needs 256 records whatever the table's size, so trees are built from a bounded hash sample, one task per
-tree, and the forest is at most 100 x 511 nodes. Scoring is a map over the table.
+A tree needs 256 records whatever the table's size; each draws its own from the whole table and is built by one task.
+The forest is at most 100 x 511 nodes. Scoring is a map over the table.
 """
+import math
 import sys
 
 import numpy as np
@@ -22,7 +23,6 @@ from .scale import group_quantiles, value_counts
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TREES, SAMPLE = 100, 256
-POOL = TREES * SAMPLE
 EULER = 0.5772156649015329
 PRICE_FEATURES = ["lp", "lppsf", "lp_rel", "lppsf_rel"]
 FEATURES = [*PRICE_FEATURES, "bed", "bath", "lacre"]
@@ -79,22 +79,41 @@ def build_tree(tree, x, seed):
     return nodes
 
 
-def fit(df, columns, seed=0, trees=TREES, sample=SAMPLE, pool=None):
-    """The forest as a small table of nodes.
+def trees_of(seed, trees, share):
+    """The trees that a record is offered to, each with probability ``share``, as an array.
 
-    The pool is the ``pool`` records with the smallest hashes (as many as all trees take together, if not given); each
-    tree draws its own records from the pool without replacement. A cutoff of the hash leaves little more than the pool,
-    so only that many records are ever put in order.
+    The distance to the record's next tree is geometric, so a record takes one hash and one more for each of its trees, not
+    one for every tree of the forest.
     """
-    pool_size = pool or trees * sample
-    share = min(1.0, (pool_size + 10 * pool_size ** 0.5 + 100) / max(df.count(), 1))
-    hashed = df.select(RID, F.array(*[F.col(c) for c in columns]).alias("x"), hash60("forest", seed, F.col(RID)).alias("u"))
-    pool = materialise(hashed.where(unit(F.col("u")) <= share).orderBy("u").limit(pool_size).select(RID, "x"))
+    if share >= 1:
+        return F.sequence(F.lit(0), F.lit(trees - 1))
 
-    drawn = (pool.select(RID, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-             .withColumn("_rank", F.row_number().over(
-                 Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", RID), RID)))
-             .where(F.col("_rank") <= sample))
+    def skip(turn):
+        u = unit(hash60("forest", seed, turn, F.col(RID)))
+        return F.least(F.coalesce(F.floor(F.ln(u) / F.lit(math.log1p(-share))), F.lit(trees)), F.lit(trees)).cast("int")
+
+    def onwards(found, turn):
+        last = F.element_at(found, -1)
+        return F.when(last >= trees, found).otherwise(F.concat(found, F.array(last + 1 + skip(turn.cast("string")))))
+
+    # most records have no tree, and the fold is left to the others
+    first = skip("0")
+    return F.when(first < trees, F.filter(F.aggregate(F.sequence(F.lit(1), F.lit(trees)), F.array(first), onwards), lambda t: t < trees))
+
+
+def draw(df, seed, trees, sample, n):
+    """(tree, rank, rid, x): the ``sample`` records of each tree, drawn from the whole table of ``n`` records without
+    replacement: those of the smallest hashes among the few more that a tree is offered."""
+    share = min(1.0, (sample + 6 * sample ** 0.5) / max(n, 1))
+    offered = df.withColumn("_trees", trees_of(seed, trees, share)).where(F.size("_trees") > 0)
+    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", RID), RID)
+    return (offered.select(RID, "x", F.explode("_trees").alias("tree"))
+            .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample))
+
+
+def fit(df, columns, seed=0, trees=TREES, sample=SAMPLE):
+    """The forest as a small table of nodes. Every tree draws its own records from the whole table, in one pass for all."""
+    drawn = draw(df.select(RID, F.array(*[F.col(c) for c in columns]).alias("x")), seed, trees, sample, df.count())
 
     def grow(key, rows):
         # at most ``sample`` rows per tree
@@ -103,7 +122,7 @@ def fit(df, columns, seed=0, trees=TREES, sample=SAMPLE, pool=None):
                             columns=["tree", "node", "feature", "threshold", "left", "right", "length"])
 
     # a fixed number of partitions, so that the small tree inputs are not merged into one task
-    return (drawn.join(F.broadcast(pool), RID).repartition(trees, "tree").groupBy("tree")
+    return (drawn.select("tree", "_rank", "x").repartition(trees, "tree").groupBy("tree")
             .applyInPandas(grow, NODE_SCHEMA))
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import any_of
 from ..operators.contract import counted_checks, enforce_structure, expectations, listed_checks
 from ..operators.dates import invalid_date
-from ..operators.duplicates import duplicates, mark_duplicates
+from ..operators.duplicates import duplicate_ids, mark_duplicates
 from ..operators.properties import records_sharing_address
-from ..operators.robust import is_price_outlier, price_robust_z
+from ..operators.robust import is_price_outlier, price_robust_z, price_stats
+from ..operators.scale import keep_matching
 from ..schema import RID
-from ..session import materialise
+from ..session import materialise, scratch
 
 # Names and meanings of the flags and the columns of the report.
 FLAGS = {
@@ -48,12 +49,15 @@ def audit_flags(df):
 def flagged_records(df):
     """Records with any flag, all columns, the flags and ``price_z``.
 
-    The few flagged rows of both branches are brought together; the table itself is not shuffled by record id.
+    Duplicates are found among the columns they are compared by; their other flags are evaluated for them alone. The
+    few flagged rows of both branches are brought together; the table itself is not shuffled by record id.
     """
-    ruled = with_rule_flags(df)
+    stats = price_stats(df)
+    ruled = with_rule_flags(df, stats)
     rules = [f for f in FLAGS if f != "listing_duplicate"]
     hits = ruled.where(any_of([F.col(f) for f in rules])).withColumn("listing_duplicate", F.lit(False))
-    pairs = duplicates(ruled).withColumn("listing_duplicate", F.lit(True))
+    ids = materialise(duplicate_ids(df).withColumn("_one", F.lit(1)))
+    pairs = with_rule_flags(keep_matching(df, ids, [RID], "_one", stored=True), stats).withColumn("listing_duplicate", F.lit(True))
     rest = [c for c in ruled.columns if c not in (RID, *FLAGS)]
     both = hits.unionByName(pairs).groupBy(RID).agg(
         F.any_value(F.struct(*rest)).alias("_r"), *[F.bool_or(f).alias(f) for f in FLAGS])
@@ -108,12 +112,15 @@ def summary_rows(df, flagged):
 def audit(raw, stored=False) -> Audit:
     """Raises ``ContractError`` before anything else runs when the table does not have the listings structure.
 
-    ``stored`` says that ``raw`` is a columnar table; other input, which every pass would parse again, is stored.
+    ``stored`` says that ``raw`` is a columnar table; other input, which every pass would parse again, is stored. Nothing but
+    the flagged records and the summary is left in the checkpoint folder.
     """
     df = enforce_structure(raw)
-    df = df if stored else materialise(df)
-    flagged = materialise(flagged_records(df))
-    return Audit(audit_report(flagged), materialise(summary_rows(df, flagged)))
+    with scratch(df.sparkSession):
+        df = df if stored else materialise(df)
+        flagged = materialise(flagged_records(df), kept=True)
+        summary = materialise(summary_rows(df, flagged), kept=True)
+    return Audit(audit_report(flagged), summary)
 
 
 def summary_document(summary, generated_at):

@@ -24,7 +24,8 @@ from ..operators.robust import (
 from ..operators.scale import beside, keep_matching
 from ..operators.score import confidence_interval, score_metrics, sparse_metrics, sparse_recalls
 from ..schema import LEGACY_HOME_KEY, LEGACY_PROPERTY_KEY, LISTING_KEY, RID
-from ..session import materialise, side_by_side
+from ..session import materialise, scratch, side_by_side
+from ..sources.versions import publish
 
 FOREST_THRESHOLD = 0.5
 # Plantings that are examined at the same time, and the columns that a price score looks at.
@@ -160,6 +161,11 @@ def validate(df, spec, n_seeds=5, forests=True):
     the scores. Only ids of flagged and of labelled records are kept; the flags of all detectors and seeds are scored in
     one aggregate. Plantings run side by side, at most ``PLANTINGS`` at a time.
     """
+    with scratch(df.sparkSession):
+        return scored_plantings(df, spec, n_seeds, forests)
+
+
+def scored_plantings(df, spec, n_seeds, forests):
     key = ["seed", "detector", "family"]
     base = base_run(df, forests)
 
@@ -176,7 +182,7 @@ def validate(df, spec, n_seeds=5, forests=True):
     earlier = base.flags.select(F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed"), "detector", "family", RID)
     metrics = sparse_metrics(flags, wanted.select(*key, RID).distinct(), key, earlier)
     metrics = metrics.join(F.broadcast(ranked), ["seed", "detector"], "left")
-    return materialise(metrics), materialise(sparse_recalls(flags, wanted, key))
+    return materialise(metrics, kept=True), materialise(sparse_recalls(flags, wanted, key), kept=True)
 
 
 def summarise(metrics):
@@ -210,7 +216,6 @@ def largest_z(df, stats=None):
 
 
 def store_validation(df, spec, folder, **options):
-    """Stores the metrics and the recalls by subtype of a validation under ``folder``."""
+    """Publishes the metrics and the recalls by subtype of a validation under ``folder``/validation."""
     metrics, recalls = validate(df, spec, **options)
-    metrics.write.mode("overwrite").parquet(f"{folder}/validation_metrics")
-    recalls.write.mode("overwrite").parquet(f"{folder}/validation_recall_by_subtype")
+    publish({"validation_metrics": metrics, "validation_recall_by_subtype": recalls}, f"{folder}/validation")

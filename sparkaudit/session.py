@@ -1,7 +1,9 @@
 """Session settings, jobs side by side, and the one way this library cuts lineage."""
+import contextvars
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -47,15 +49,36 @@ def checkpoint_dir(spark):
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+# Folders of the scratch blocks that are open, the innermost last.
+_SCRATCH = contextvars.ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark):
+    """Tables that are materialised inside the block are deleted when it ends, also by an error; those that are ``kept``
+    belong to the block around it, or stay where there is none."""
+    folder = f"{checkpoint_dir(spark)}/tables/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set((*_SCRATCH.get(), folder))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, kept=False) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     The result survives the loss of executors, is computed once however often it is read, and carries its
     true size, so Spark itself decides by that size whether a join may broadcast it. Its number of rows, counted
-    while writing, is kept for ``stored_rows``.
+    while writing, is kept for ``stored_rows``. Inside a ``scratch`` block it lasts as long as the block, or, if
+    ``kept``, as the block around it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    open_blocks = _SCRATCH.get()[:-1] if kept else _SCRATCH.get()
+    folder = open_blocks[-1] if open_blocks else f"{checkpoint_dir(spark)}/tables"
+    path = f"{folder}/{uuid.uuid4().hex}"
     written = Observation()
     df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
@@ -71,7 +94,8 @@ def stored_rows(df: DataFrame) -> int:
 
 def side_by_side(spark, jobs, limit):
     """The results of the functions ``jobs``, in their order. At most ``limit`` run at a time, each as Spark jobs in a
-    scheduler pool of its own; they inherit the caller's local properties. After a failure no further one starts."""
+    scheduler pool of its own; they inherit the caller's local properties and scratch block. After a failure no further one
+    starts."""
     checkpoint_dir(spark)       # set up once, before threads ask for it
     failed = []
 
@@ -86,6 +110,7 @@ def side_by_side(spark, jobs, limit):
             raise
 
     with ThreadPoolExecutor(max(1, limit)) as threads:
-        running = [threads.submit(inheritable_thread_target(spark)(run), at, job) for at, job in enumerate(jobs)]
+        running = [threads.submit(contextvars.copy_context().run, inheritable_thread_target(spark)(run), at, job)
+                   for at, job in enumerate(jobs)]
     # the first failure in the order of the jobs, once all have stopped
     return [r.result() for r in running]

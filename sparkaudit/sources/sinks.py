@@ -13,14 +13,3 @@ def write_json(df, path):
 def write_lines(lines, path):
     """A short text whose lines keep their order: one file."""
     lines.orderBy("line_no").coalesce(1).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
-
-
-def replace_partitions(df, path, by="model"):
-    """Write results partitioned by ``by``; partitions that ``df`` has no rows of stay as they are."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path))
-
-
-def replaced(old, new, by="model"):
-    """The table after such a write: results of the groups in ``new`` replace the old ones. The groups are few."""
-    names = new.select(by).distinct()
-    return old.join(names, by, "left_anti").unionByName(new.select(old.columns))

@@ -3,9 +3,10 @@ import random
 import numpy as np
 import pytest
 from conftest import HOME
+from pyspark.sql import functions as F
 
 from sparkaudit.operators import models, splits
-from sparkaudit.operators.iforest import isolation_forest
+from sparkaudit.operators.iforest import draw, isolation_forest
 from sparkaudit.operators.leakage import HOME as PHYSICAL
 from sparkaudit.operators.leakage import mechanism_table, regression_metrics, twin_flags
 from sparkaudit.operators.properties import with_property
@@ -13,6 +14,7 @@ from sparkaudit.operators.rootcause import group_mixes, spearman
 from sparkaudit.plans.leakage import naive_comparison, store_leakage
 from sparkaudit.schema import LISTING_COLUMNS, MODEL_FEATURES, PROPERTY_KEY, listing_struct
 from sparkaudit.session import materialise
+from sparkaudit.sources.versions import latest
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +136,19 @@ def test_models_predict_every_test_row(split, model, settings):
     assert abs(np.mean([r["p"] - r["y"] for r in rows])) < 0.5
 
 
+@pytest.mark.parametrize("n,trees", [(40_000, 30), (300, 20), (100, 5)])
+def test_trees_draw_from_the_whole_table(spark, n, trees):
+    df = spark.range(n).select(F.col("id").alias("rid"), F.array(F.col("id").cast("double")).alias("x"))
+    drawn = {}
+    for r in draw(df, 4, trees, 256, n).collect():
+        drawn.setdefault(r["tree"], set()).add(r["rid"])
+    assert len(drawn) == trees and all(len(rows) == min(256, n) for rows in drawn.values())
+    shared = [len(drawn[a] & drawn[b]) for a in drawn for b in drawn if a < b]
+    expected = min(256, n) ** 2 / n      # of two independent draws
+    assert abs(sum(shared) / len(shared) - expected) < 0.15 * expected + 0.1
+    assert abs(sum(sum(rows) for rows in drawn.values()) / sum(map(len, drawn.values())) - (n - 1) / 2) < 0.02 * n
+
+
 def test_isolation_forest_ranks_planted_prices_high(spark):
     rng = np.random.default_rng(0)
     rows = []
@@ -173,7 +188,7 @@ def test_leakage_conditions_and_stored_results(spark, listings, tmp_path):
     options = {"n_seeds": 1, "shares": [0.0, 1.0], "settings": SMALL}
     store_leakage(prepared, str(tmp_path), only=(models.RIDGE, models.FOREST), **options)
     before = {tuple(r[c] for c in ("model", "keep_share", "subset")): (r["n_test"], r["n_train"], r["r2"])
-              for r in spark.read.parquet(str(tmp_path / "leakage_metrics")).collect()}
+              for r in latest(spark, str(tmp_path / "leakage"))["leakage_metrics"].collect()}
     assert len(before) == 2 * 2 * 3
     part = splits.with_twins(splits.random_split(prepared, 0)).collect()
     for (_, _, subset), (n_test, n_train, _) in before.items():
@@ -181,9 +196,9 @@ def test_leakage_conditions_and_stored_results(spark, listings, tmp_path):
         assert n_test == sum(r["is_test"] and r["seen"] in seen for r in part)
         assert n_train == sum(not r["is_test"] and not r["twin"] for r in part)
     store_leakage(prepared, str(tmp_path), only=(models.RIDGE,), **{**options, "n_seeds": 2})
-    after = spark.read.parquet(str(tmp_path / "leakage_metrics"))
+    after = latest(spark, str(tmp_path / "leakage"))["leakage_metrics"]
     assert {r["model"]: r["count"] for r in after.groupBy("model").count().collect()} == {models.RIDGE: 12, models.FOREST: 6}
-    table = spark.read.parquet(str(tmp_path / "leakage_mechanism"))
+    table = latest(spark, str(tmp_path / "leakage"))["leakage_mechanism"]
     assert table.count() == 4 and {r["model"] for r in table.collect()} == {models.RIDGE, models.FOREST}
 
 

@@ -1,11 +1,14 @@
 """Plantings examined by what they touch against running every detector over the whole planted table."""
+from pathlib import Path
+
 import pytest
 
 from sparkaudit.operators.plant import Spec, plant
 from sparkaudit.operators.robust import price_stats
 from sparkaudit.plans import validation
+from sparkaudit.plans.audit import audit
 from sparkaudit.schema import LISTING_COLUMNS, listing_struct
-from sparkaudit.session import materialise, side_by_side
+from sparkaudit.session import checkpoint_dir, materialise, scratch, side_by_side
 
 SPEC = Spec(sentinel_dates=12, typo_years=8, exact_duplicates=6, near_duplicates=8, price_factors={10: 4, 100: 4, 1000: 4, 0.001: 4})
 
@@ -57,3 +60,34 @@ def test_jobs_side_by_side_keep_their_order_and_stop_at_a_failure(spark):
     with pytest.raises(ValueError, match="no"):
         side_by_side(spark, [lambda i=i: job(i) for i in range(40)], 1)
     assert started == [0, 1]
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    def tables():
+        return sorted(p.name for p in Path(checkpoint_dir(spark).removeprefix("file:"), "tables").glob("*"))
+
+    before = tables()
+    with scratch(spark):
+        gone = materialise(spark.range(3))
+        with scratch(spark):
+            inner, lifted = materialise(spark.range(4)), materialise(spark.range(5), kept=True)
+            assert side_by_side(spark, [lambda: materialise(gone.union(inner)).count()] * 3, 2) == [7] * 3
+        assert lifted.count() == 5
+        with pytest.raises(Exception, match="(?i)not.*exist"):
+            inner.collect()
+        stays = materialise(lifted.union(gone), kept=True)
+    with pytest.raises(ValueError), scratch(spark):
+        materialise(spark.range(2))
+        raise ValueError
+    assert len(tables()) == len(before) + 1 and stays.count() == 8
+
+
+def test_an_audit_and_a_validation_leave_their_results_alone(spark, listings):
+    def tables():
+        return len(list(Path(checkpoint_dir(spark).removeprefix("file:"), "tables").glob("*")))
+
+    before = tables()
+    result = audit(listings, stored=True)
+    assert tables() == before + 2 and result.report.count() > 0 and result.summary.count() > 5
+    metrics, recalls = validation.validate(listings, SPEC, n_seeds=2, forests=False)
+    assert tables() == before + 4 and metrics.count() == 14 and recalls.count() > 0
