@@ -1,7 +1,7 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes pairs, their word shingles are compared exactly.
+"""N-gram Jaccard join: bands of MinHash values propose pairs, their word shingles are compared exactly.
 
-Documents with the same shingles form a class. Every class enters one leaf of each prefix tree; the length of the
-prefix is the longest that reaches the target recall, found by shortening it step by step. Members of a leaf are
+Documents with the same shingles form a class. Every class enters one bucket of each band. Bands have a fixed depth, the
+greatest that reaches the target recall, where an LSH forest would let it follow the matches. Members of a bucket are
 compared in one pass that reports counts and a spanning forest, so no list of pairs is ever written.
 """
 import numpy as np
@@ -24,7 +24,7 @@ COLUMNS, PAIRS = 2048, 500_000
 
 
 def prefix_length(threshold=THRESHOLD, trees=TREES, recall=RECALL, longest=LONGEST_PREFIX):
-    """Shortens the prefix until a pair at the threshold meets in some tree with probability ``recall``."""
+    """The greatest depth of a band at which a pair at the threshold meets in some band with probability ``recall``."""
     length = longest
     while length > 1 and 1 - (1 - threshold ** length) ** trees < recall:
         length -= 1
@@ -43,7 +43,7 @@ def min_hashes(shingles, count):
 
 
 def prefix_keys(shingles, trees, length):
-    """One key per tree: of the tree and its prefix of minima."""
+    """One key per band: of the band and its minima."""
     minima = min_hashes(shingles, trees * length).reshape(trees, length)
     key = np.arange(1, trees + 1, dtype=np.uint64)
     for j in range(length):

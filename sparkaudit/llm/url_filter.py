@@ -86,11 +86,14 @@ def judge_urls(urls, rules, default="allow", url="url"):
 
     The fitting rule of the highest priority decides (ties: the smaller rule); without one the verdict is ``default``.
     Every row is judged, repeated rows each for itself; a missing URL has an empty host and fits no rule that needs
-    a token. Columns with the four result names are replaced. Rule names are unique; an empty rule table is allowed.
+    a token. Columns with the four result names are replaced; any other name may occur. Rule names are unique; an empty rule
+    table is allowed.
     """
     results = ["host", "path", "rule", "verdict"]
     others = [c for c in urls.columns if c not in results]
-    parts = with_parts(urls.select(*others), url)
+    # other columns travel as one, so their names meet no name of the index
+    packed = urls.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_none")).alias("_others"), F.col(url).alias("_url"))
+    parts = with_parts(packed, "_url").drop("_url")
     index = materialise(rule_index(parts, rules))
     side = F.broadcast(index) if stored_rows(index) <= BROADCAST_RULES else index
     found = (parts.withColumn("_row", F.monotonically_increasing_id())
@@ -98,10 +101,9 @@ def judge_urls(urls, rules, default="allow", url="url"):
              .join(side, "token", "left"))
     fits = F.when(F.expr("rlike(concat(host, path), pattern)"),
                   F.struct((-F.col("priority")).alias("order"), "rule", "verdict"))
-    kept = [c for c in others]
     # all rows of a URL come from one task, so they meet before the shuffle
-    best = found.select("_row", F.struct(*kept, F.col("host"), F.col("path")).alias("_url"), fits.alias("_fit"))
+    best = found.select("_row", F.struct("_others", "host", "path").alias("_url"), fits.alias("_fit"))
     best = best.groupBy("_row").agg(F.first("_url").alias("_url"), F.min("_fit").alias("_fit"))
-    return best.select(*[F.col("_url")[c].alias(c) for c in [*kept, "host", "path"]],
+    return best.select(*[F.col("_url._others")[c].alias(c) for c in others], F.col("_url.host").alias("host"), F.col("_url.path").alias("path"),
                        F.col("_fit")["rule"].alias("rule"),
                        F.coalesce(F.col("_fit")["verdict"], F.lit(default)).alias("verdict"))

@@ -114,3 +114,11 @@ def test_checked_spans_and_context(spark):
 @pytest.mark.parametrize("text", ["a" * 300_000, "1" * 300_000, "1." * 150_000, "+1((" * 75_000, "@" * 300_000, "a@b." * 75_000, "A1" * 150_000])
 def test_long_runs_cost_linear_time(text):
     spans_of(text)
+
+
+def test_urls_with_columns_named_like_the_index(spark):
+    names = ["token", "pattern", "priority", "literals", "_row", "_fit", "_url", "_others", "order", "count"]
+    df = spark.createDataFrame([(i, u, *names) for i, u in enumerate(URLS)], f"page_id int, url string, {', '.join(n + ' string' for n in names)}")
+    rows = judge_urls(df, rule_table(spark, [site_rule(*s) for s in SITES] + [word_rule("cheap-pills")])).collect()
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows} == {i: judged(u) for i, u in enumerate(URLS)}
+    assert all([r[n] for n in names] == names for r in rows)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkaudit.llm import main_text
+from sparkaudit.llm import main_text, quality
 from sparkaudit.llm.language import identify_languages
 from sparkaudit.llm.main_text import DEPTH, extract_text, page_blocks, suffix_array
 from sparkaudit.llm.quality import classify_quality, shrunk
@@ -239,3 +239,61 @@ def test_pages_keep_their_text_without_the_article_tags(spark):
     want = {r["page_id"]: r["text"] for r in extract_text(pages).collect()}
     lost = [b for i, t in want.items() for b in t.split("\n\n") if b not in got[i].split("\n\n")]
     assert want and not lost
+
+
+def test_pages_with_columns_named_like_the_inner_ones(spark):
+    names = ["_host", "_page", "_kept", "_text", "_html", "_others", "text"]
+    rows = [(i, "http://h.org/", f"<article>page {i}</article><p>end", *names) for i in range(6)] + [(6, None, None, *names)]
+    df = spark.createDataFrame(rows, f"page_id long, url string, html string, {', '.join(n + ' string' for n in names)}")
+    got = extract_text(df).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {**{i: f"page {i}" for i in range(6)}, 6: ""}
+    assert all([r[n] for n in names[:-1]] == names[:-1] for r in got)
+
+
+def test_site_beliefs_equal_the_posterior_computed_by_hand(spark):
+    rnd = random.Random(11)
+    words = {1: ["clear", "useful", "careful", "sound"], 0: ["buy", "click", "spam", "junk"]}
+    docs, labels = [], []
+    for i in range(240):
+        host = "big" if i % 3 == 0 else f"h{i % 11}"
+        good = int(rnd.random() < {"big": 0.8}.get(host, (i % 11) / 11))
+        docs.append((i, " ".join(rnd.choices(words[good], k=12)) if i % 29 else None, host if i % 31 else None, f"/{i % 4}" if i % 7 else None))
+        labels.append((i, good, 0))
+    df = spark.createDataFrame(docs, "doc_id long, text string, host string, path string")
+    rows = {r["doc_id"]: r for r in classify_quality(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "host", "path").collect()}
+    p = {i: rows[i]["p_doc"] for i in rows}
+    site = {d[0]: (d[2] or "", d[3] or "") for d in docs}
+
+    def level(members, up):
+        """{group: (n, sum, mean above)} -> weight of the level above, by the method of moments."""
+        n = np.array([len(v) for v in members.values()], float)
+        mean = np.array([np.mean([p[i] for i in v]) for v in members.values()])
+        above = np.array([up(g) for g in members])
+        spread, d = above * (1 - above), n.sum() - (n ** 2).sum() / n.sum()
+        between = max(((n * (mean - above) ** 2).sum() - spread.sum()) / d, 0) if d > 0 else 0
+        m = spread.mean() / between - 1 if between > 0 else quality.MOST
+        return min(max(m, quality.LEAST), quality.MOST)
+
+    def groups(key):
+        out = {}
+        for i in p:
+            out.setdefault(key(i), []).append(i)
+        return out
+
+    whole = np.mean(list(p.values()))
+    hosts, paths = groups(lambda i: site[i][0]), groups(lambda i: site[i])
+    m_host = level(hosts, lambda g: whole)
+    belief = {h: (sum(p[i] for i in v) + m_host * whole) / (len(v) + m_host) for h, v in hosts.items()}
+    m_path = level(paths, lambda g: belief[g[0]])
+
+    def logit(x):
+        x = min(max(x, 1e-6), 1 - 1e-6)
+        return np.log(x / (1 - x))
+
+    for i, r in rows.items():
+        v = paths[site[i]]
+        own = (sum(p[j] for j in v) - p[i] + m_path * belief[site[i][0]]) / (len(v) - 1 + m_path)
+        score = 1 / (1 + np.exp(-(logit(p[i]) + logit(min(max(own, 0), 1)) - logit(whole))))
+        assert r["p_site"] == pytest.approx(own, abs=1e-9) and r["score"] == pytest.approx(score, abs=1e-9)
+        assert r["keep"] == (r["score"] >= 0.5)
+    assert len(rows) == 240
