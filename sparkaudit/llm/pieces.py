@@ -38,7 +38,13 @@ BATCH_ROWS = 1_000
 TASK_WORDS = 20_000
 # First letters by which the length of substrings is bounded.
 HEAD = 3
-DUMMY = ("", "00000000", 0.0)
+# An edge as one long: from the top the rank of its piece, where it starts and ends in the word, the id of its piece.
+ID = (1 << 24) - 1
+END, START, RANK = 24, 30, 36
+PLACES = (1 << 6) - 1
+# The mark of a fold that has ended.
+DONE = -(1 << 63)
+DUMMY = ("", 0, 0.0)
 
 
 @dataclass(frozen=True)
@@ -53,6 +59,8 @@ class Vocabulary:
     def __post_init__(self):
         if any(re.search(f"[^{MARK}]{MARK}|.\\n|\\n.", p, re.S) for p, _, _ in self.pieces):
             raise ValueError("pieces must not reach across the start of a word or a line")
+        if any(not 0 <= i <= ID for _, i, _ in self.pieces):
+            raise ValueError(f"piece ids must be between 0 and {ID}")
 
     @property
     def longest(self):
@@ -88,61 +96,98 @@ def bit(i):
 
 
 def lattice(words, vocabulary, *carried):
-    """One row per word with its edges (rank, start, end, need, inner, id), best rank first, and the carried columns.
+    """One row per word with its ``edges``, best rank first, and the carried columns.
 
-    ``words`` is partitioned by ``word``, and exploding and the broadcast join keep it so: edges are grouped where they are.
-    The piece table is a vocabulary, not data; it is broadcast. An empty piece gives a word without edges its row.
+    An edge is one long: the rank of its piece among all, its start and end, its id (``START``, ``END``, ``ID`` say where).
+    For a unigram vocabulary ``costs`` holds the costs in the order of the edges. ``words`` holds each word once and is
+    best a stored table: its rows are numbered and spread by number, and exploding and the broadcast join keep them so,
+    so edges are grouped by number where they are. The piece table is a vocabulary, not data; it is broadcast.
     """
     spark = words.sparkSession
-    rows = [(p, f"{i:08x}", -float(s)) for p, i, s in vocabulary.pieces] + [DUMMY]
-    pieces = F.broadcast(spark.createDataFrame(rows, "piece string, id string, rank double"))
-    n = F.length("word")
+    place = {r: i for i, r in enumerate(sorted({-float(s) for _, _, s in vocabulary.pieces}))}
+    rows = [(p, (place[-float(s)] << RANK) + i, -float(s)) for p, i, s in vocabulary.pieces]
+    pieces = F.broadcast(spark.createDataFrame(rows or [DUMMY], "piece string, code long, cost double"))
     # a start goes on only as far as some piece that begins with the same letters does
     reach = {}
     for p, _, _ in vocabulary.pieces:
         reach[p[:HEAD]] = max(len(p), reach.get(p[:HEAD], 0))
     heads = F.broadcast(spark.createDataFrame(list(reach.items()) or [("", 0)], "head string, reach int"))
-    starts = (words.select("word", *carried, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-              .select("word", *[F.when(F.col("s") == 0, F.col(c)).alias(c) for c in carried], "s", F.expr(f"substring(word, s + 1, {HEAD})").alias("head"))
+    whole = F.struct("word", *carried)
+    numbered = words.select(F.monotonically_increasing_id().alias("_w"), "word", whole.alias("_whole")).repartition(tasks_for(stored_rows(words)), "_w")
+    starts = (numbered.select("_w", "word", "_whole", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
+              .select("_w", F.when(F.col("s") == 0, F.col("_whole")).alias("_whole"), "s",
+                      F.expr(f"substring(word, s + 1, {vocabulary.longest})").alias("rest"), F.expr(f"substring(word, s + 1, {HEAD})").alias("head"))
               .join(heads, "head", "left"))
-    far = F.least(F.greatest(F.coalesce("reach", F.lit(0)), F.lit(HEAD - 1)), n - F.col("s"))
-    spans = (starts.select("word", *carried, "s", F.explode(F.sequence(F.when(F.col("s") == 0, F.lit(0)).otherwise(F.lit(1)), far)).alias("l"))
-             .select("word", *[F.when(F.col("l") == 0, F.col(c)).alias(c) for c in carried], "s", "l", F.expr("substring(word, s + 1, l)").alias("piece")))
-    end = F.col("s") + F.col("l")
-    edge = F.struct("rank", "s", end.alias("e"), (bit(F.col("s")) + bit(end)).alias("need"), (bit(end) - bit(F.col("s")) * 2).alias("inner"), "id")
-    found = spans.join(pieces, "piece").groupBy("word")
-    return found.agg(F.array_sort(F.collect_list(F.when(F.col("l") > 0, edge))).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in carried])
+    far = F.least(F.greatest(F.coalesce("reach", F.lit(0)), F.lit(HEAD - 1)), F.length("rest"))
+    spans = (starts.select("_w", "_whole", "s", "rest", F.explode(F.sequence(F.lit(1), far)).alias("l"))
+             .select("_w", F.when(F.col("l") == 1, F.col("_whole")).alias("_whole"), "s", "l", F.expr("substring(rest, 1, l)").alias("piece")))
+    # single characters stay whether or not they are pieces: the first of them carries the word
+    found = spans.join(pieces, "piece", "left").where(F.col("code").isNotNull() | F.col("_whole").isNotNull())
+    start, end = F.col("s").cast("bigint"), (F.col("s") + F.col("l")).cast("bigint")
+    edge = F.col("code") + start * (1 << START) + end * (1 << END)
+    if vocabulary.kind == "bpe":
+        edges = F.sort_array(F.collect_list(edge)).alias("edges")
+    else:
+        edges = F.array_sort(F.collect_list(F.when(edge.isNotNull(), F.struct(edge.alias("edge"), "cost")))).alias("edges")
+    grouped = found.groupBy("_w").agg(edges, F.first("_whole", ignorenulls=True).alias("_whole"))
+    columns = [F.col("_whole")[c].alias(c) for c in ("word", *carried)]
+    if vocabulary.kind == "bpe":
+        return grouped.select(*columns, "edges")
+    return grouped.select(*columns, F.col("edges.edge").alias("edges"), F.col("edges.cost").alias("costs"))
+
+
+def start_of(edge):
+    return F.shiftright(edge, START).bitwiseAND(F.lit(PLACES)).cast("int")
+
+
+def end_of(edge):
+    return F.shiftright(edge, END).bitwiseAND(F.lit(PLACES)).cast("int")
+
+
+def reaches(edges):
+    """For every edge, as bits, the boundaries at its ends (``need``) and all from one to the other (``span``), and its
+    start, end and id without the rank (``place``)."""
+    def one(s, e, edge):
+        return F.struct((bit(s) + bit(e)).alias("need"), (bit(e + 1) - bit(s)).alias("span"), edge.bitwiseAND(F.lit((1 << RANK) - 1)).alias("place"))
+
+    return F.transform(edges, lambda edge: one(start_of(edge), end_of(edge), edge))
 
 
 def merged(edges, n):
-    """Boundaries that merging leaves, as bits: each step takes the best edge that joins exactly two neighbours."""
+    """Boundaries that merging leaves, as bits: each step takes the best of ``reaches`` that joins exactly two neighbours."""
     def fold(longer):
         def step(mask, _):
-            fits = F.filter(longer, lambda e: (mask.bitwiseAND(e["need"]) == e["need"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
-            return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["inner"])), mask)
+            fits = F.filter(longer, lambda e: (mask.bitwiseAND(e["need"]) == e["need"]) & (F.bit_count(mask.bitwiseAND(e["span"])) == 3))
+            # the two ends stay, what lies between goes
+            joined = let(F.get(fits, F.lit(0)), lambda e: mask.bitwiseAND(F.bitwise_not(e["span"] - e["need"])))
+            # the sign says that nothing fits any more; the remaining steps look at nothing
+            return F.when(mask < 0, mask).otherwise(F.coalesce(joined, mask.bitwiseOR(F.lit(DONE))))
 
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), bit(n + 1) - 1, step)
+        steps = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+        return F.aggregate(steps, bit(n + 1) - 1, step).bitwiseAND(F.lit(~DONE))
 
-    return let(F.filter(edges, lambda e: e["e"] - e["s"] > 1), fold)
+    return let(F.filter(edges, lambda e: F.bit_count(e["span"]) > 2), fold)
 
 
-def likeliest(edges, n, unknown_cost):
+def likeliest(edges, costs, n, unknown_cost):
     """Boundaries of the Viterbi path, as bits: edges by end and start relax the cost of their end.
 
     Where two paths cost the same the one whose last piece starts first is kept. A character without a piece costs
     ``unknown_cost``.
     """
-    single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.lit(float(unknown_cost)).alias("rank"), i.alias("s"), (i + 1).alias("e")))
-    known = F.transform(edges, lambda e: F.struct(e["rank"].alias("rank"), e["s"].alias("s"), e["e"].alias("e")))
-    covered = F.transform(F.filter(edges, lambda e: e["e"] - e["s"] == 1), lambda e: e["s"])
-    steps = F.transform(F.concat(known, F.filter(single, lambda x: ~F.array_contains(covered, x["s"]))),
-                        lambda x: F.struct(x["e"].alias("e"), x["s"].alias("s"), x["rank"].alias("rank")))
+    def edge(e, s, cost):
+        return F.struct(e.alias("e"), s.alias("s"), cost.alias("cost"))
+
+    single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: edge(i + 1, i, F.lit(float(unknown_cost))))
+    known = F.zip_with(edges, costs, lambda x, c: edge(end_of(x), start_of(x), c))
+    covered = F.transform(F.filter(edges, lambda x: end_of(x) - start_of(x) == 1), start_of)
+    steps = F.concat(known, F.filter(single, lambda x: ~F.array_contains(covered, x["s"])))
     state = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(
         F.when(i == 0, F.lit(0.0)).otherwise(F.lit(float("inf"))).alias("cost"), F.lit(0).cast("bigint").alias("cuts")))
 
     def relax(acc, x):
         before = F.get(acc, x["s"])
-        cost = before["cost"] + x["rank"]
+        cost = before["cost"] + x["cost"]
         better = F.struct(cost.alias("cost"), (before["cuts"] + bit(x["s"])).alias("cuts"))
         return F.transform(acc, lambda y, i: F.when((i == x["e"]) & (cost < y["cost"]), better).otherwise(y))
 
@@ -153,9 +198,11 @@ def encode_words(words, vocabulary, *carried):
     """``word``, ``ids`` (4 bytes each, high byte first) and the carried columns of words of at most ``LONGEST`` characters."""
     edges, n = F.col("edges"), F.length("word")
     worst = max((-s for _, _, s in vocabulary.pieces), default=0.0)
-    mask = merged(edges, n) if vocabulary.kind == "bpe" else likeliest(edges, n, worst + 10)
     byte_ids = F.array(*[F.lit(f"{i:08x}") for i in vocabulary.byte_ids]) if vocabulary.byte_ids else None
 
+    def hex_of(edge):
+        return F.lpad(F.hex(edge.bitwiseAND(F.lit(ID))), 8, "0")
+
     def fallback(at):
         if byte_ids is None:
             return F.lit(f"{vocabulary.unknown:08x}")
@@ -163,16 +210,23 @@ def encode_words(words, vocabulary, *carried):
         return F.array_join(F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)),
                                         lambda i: F.get(byte_ids, F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int"))), "")
 
-    def named(cuts):
-        def one(k):
-            fits = F.filter(edges, lambda x: (x["s"] == F.get(cuts, k)) & (x["e"] == F.get(cuts, k + 1)))
-            return F.coalesce(F.get(fits, F.lit(0))["id"], fallback(F.get(cuts, k)))
+    def named(reached, mask):
+        # pieces of the path: both ends are boundaries and none lies between; put in the order of their starts
+        fits = F.filter(reached, lambda e: mask.bitwiseAND(e["span"]) == e["need"])
+        path = F.sort_array(F.transform(fits, lambda e: e["place"]))
+
+        def filled(path):
+            cuts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: mask.bitwiseAND(bit(i)) != 0)
+            return F.transform(cuts, lambda at: F.coalesce(hex_of(F.get(F.filter(path, lambda e: start_of(e) == at), F.lit(0))), fallback(at)))
+
+        whole = lambda path: F.size(path) == F.bit_count(mask) - 1
+        return let(path, lambda path: F.array_join(F.when(whole(path), F.transform(path, hex_of)).otherwise(filled(path)), ""))
 
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), one), "")
+    def path_of(reached):
+        mask = merged(reached, n) if vocabulary.kind == "bpe" else likeliest(edges, F.col("costs"), n, worst + 10)
+        return let(mask, lambda mask: named(reached, mask))
 
-    kept = lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: m.bitwiseAND(bit(i)) != 0)
-    ids = let(mask, lambda m: let(kept(m), named))
-    return lattice(words, vocabulary, *carried).select("word", F.unhex(ids).alias("ids"), *carried)
+    return lattice(words, vocabulary, *carried).select("word", F.unhex(let(reaches(edges), path_of)).alias("ids"), *carried)
 
 
 class LongWords:
@@ -252,7 +306,7 @@ def common_words(docs, vocabulary, id_col, text):
         total += row["words"]
         least = row["n"]
     chosen = seen.where(F.col("n") >= F.lit(least)) if least is not None else seen.limit(0)
-    return materialise(encode_words(chosen.select("word").repartition(tasks_for(total), "word"), vocabulary))
+    return materialise(encode_words(chosen.select("word"), vocabulary))
 
 
 def rare_words(keys, common, vocabulary, text):
@@ -264,7 +318,7 @@ def rare_words(keys, common, vocabulary, text):
     pairs = materialise(keys.select("_key", F.explode(F.array_distinct(units_of(F.col(text)))).alias("word")).where(F.length("word") <= LONGEST)
                         .join(F.broadcast(common.select("word")), "word", "left_anti").select("_key", "word").distinct())
     counted = materialise(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("_n")))
-    words = materialise(encode_words(counted.repartition(tasks_for(stored_rows(counted)), "word"), vocabulary, "_n"))
+    words = materialise(encode_words(counted, vocabulary, "_n"))
     return (attach(pairs, words, ["word"], "_n", stored=True).select("_key", F.struct("word", "ids").alias("_pair"))
             .groupBy("_key").agg(F.collect_list("_pair").alias("_pairs")))
 
