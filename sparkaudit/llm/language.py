@@ -42,7 +42,9 @@ class LanguageModel:
         for x in self.languages:
             families.setdefault(family_of(x), []).append(x)
         self.families = [families[f] for f in sorted(families)]
-        chosen = train.join(sizes, "_lang").where(hash_share(F.col("_text")) < F.lit(float(per_language)) / F.col("_n"))
+        # copies of a text are one row of the sample, so it stays bounded; the order makes the fits the same on every run
+        chosen = (train.join(F.broadcast(sizes), "_lang").where(hash_share(F.col("_text")) < F.lit(float(per_language)) / F.col("_n"))
+                  .select("_text", "_lang").distinct().sortWithinPartitions("_text", "_lang"))
         number = F.create_map(*[F.lit(v) for i, f in enumerate(self.families) for x in f for v in (x, float(i))]) if self.languages else None
         self.family, self.pairs = None, {}
         if len(self.languages) < 2:
@@ -61,12 +63,15 @@ class LanguageModel:
         ``und`` with score 0 where the text is missing or has no letter, or where nothing was learned. Within the likeliest
         family the language that wins most duels is taken (ties: the better margins, then the name).
         """
-        docs = docs.drop("lang_pred", "score")
-        columns = [F.col(c) for c in docs.columns]
+        names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+        # the input columns travel as one, by position, so any name may occur
+        row = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+        docs = docs.select(row.alias("_row"), F.col(text).alias("_text"))
+        columns = [F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(names)]
         none = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
         if not self.languages:
             return docs.select(*columns, none["lang"].alias("lang_pred"), none["score"].alias("score"))
-        scored = with_features(docs, language_tokens(F.col(text)), FEATURES)
+        scored = with_features(docs, language_tokens(F.col("_text")), FEATURES)
         if self.family:
             scored = self.family(scored, "_family")
         for i, ((_, _), model) in enumerate(self.pairs.items()):
@@ -88,7 +93,7 @@ class LanguageModel:
         groups = [F.array_min(F.array(*[rated(x, p[i]) for x in members])) for i, members in enumerate(self.families)]
         groups = [F.struct((-p[i]).alias("p"), F.struct(g["lang"].alias("lang"), g["score"].alias("score")).alias("best")) for i, g in enumerate(groups)]
         best = F.array_min(F.array(*groups))["best"]
-        scored = scored.withColumn("_best", F.when(F.col(text).rlike(r"\p{L}"), best).otherwise(none))
+        scored = scored.withColumn("_best", F.when(F.col("_text").rlike(r"\p{L}"), best).otherwise(none))
         return scored.select(*columns, F.col("_best.lang").alias("lang_pred"), F.col("_best.score").alias("score"))
 
 

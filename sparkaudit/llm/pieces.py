@@ -341,13 +341,16 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
     gives an empty table. The session's Arrow batches become small.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("ids", "n_tokens")
+    columns = [c for c in docs.columns if c not in ("ids", "n_tokens")]
     common = common_words(docs, vocabulary, id_col, text)
     known = docs.sparkSession.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in common.toLocalIterator()})
     others = LongWords(vocabulary)
+    # other columns travel as one, by position, so any name may occur
+    rest = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns) if c != text])
     # documents with the same key share their rare words, which changes no encoding; copies are dealt over some keys
-    keys = docs.withColumn("_key", F.xxhash64(text, F.pmod(F.xxhash64(id_col), F.lit(COPIES))))
-    sent = rare_words(keys, common, vocabulary, text)
+    keys = docs.select(rest.alias("_rest"), F.col(text).alias("_text"),
+                       F.xxhash64(text, F.pmod(F.xxhash64(id_col), F.lit(COPIES))).alias("_key"))
+    sent = rare_words(keys, common, vocabulary, "_text")
 
     def code_of(word, table, own):
         found = table.get(word) or own.get(word)
@@ -369,12 +372,12 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
         return pd.DataFrame({"text": pd.Series(plain, dtype=object), "ids": pd.Series(out, dtype=object)})
 
     # the text is shuffled once, to meet its rare words, and packed for that
-    joined = keys.withColumn("_packed", F.pandas_udf(_packed, "binary")(F.col(text))).drop(text).join(sent, "_key", "left")
+    joined = keys.withColumn("_packed", F.pandas_udf(_packed, "binary")(F.col("_text"))).drop("_text").join(sent, "_key", "left")
     part = lambda name: F.transform("_pairs", lambda p: p[name])
     both = F.pandas_udf(whole, "text string, ids array<int>")(F.col("_packed"), part("word"), part("ids"))
     joined = joined.withColumn("_whole", both)
-    columns = [F.col("_whole.text").alias(c) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.col("_whole.ids").alias("ids"), F.size("_whole.ids").cast("bigint").alias("n_tokens"))
+    own = [F.col("_whole.text").alias(c) if c == text else F.col("_rest")[f"c{i}"].alias(c) for i, c in enumerate(columns)]
+    return joined.select(*own, F.col("_whole.ids").alias("ids"), F.size("_whole.ids").cast("bigint").alias("n_tokens"))
 
 
 def decode(docs, vocabulary, ids="ids", text="text"):

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkaudit.llm import main_text, quality
-from sparkaudit.llm.language import identify_languages
+from sparkaudit.llm import language, main_text, quality
+from sparkaudit.llm.language import LanguageModel, identify_languages
 from sparkaudit.llm.main_text import DEPTH, extract_text, page_blocks, suffix_array
 from sparkaudit.llm.quality import classify_quality, shrunk
 
@@ -55,6 +55,25 @@ def test_predictions_read_the_text_alone(spark, prose):
     assert first == second
 
 
+def test_languages_beside_columns_named_like_the_inner_ones(spark, prose):
+    names = ["_tokens", "_raw", "_x", "_family", "_m0", "_best", "_row", "_text", "_r", "_p", "_c", "none", "c0"]
+    plain = spark.createDataFrame([r for r in prose if r[0] is not None], "doc_id long, text string, lang string")
+    named = plain.select("*", *[F.lit(n).alias(n) for n in names])
+    want = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in identify_languages(plain).collect()}
+    got = identify_languages(named).collect()
+    assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in got} == want
+    assert all(r[n] == n for r in got for n in names)
+
+
+def test_copies_of_a_text_do_not_enlarge_the_sample(spark, prose, monkeypatch):
+    many = spark.createDataFrame(prose + [prose[0]] * 500, "doc_id long, text string, lang string")
+    held = []
+    stored = language.materialise
+    monkeypatch.setattr(language, "materialise", lambda df: held.append(stored(df)) or held[-1])
+    LanguageModel(many, per_language=2_000)
+    assert held[-1].count() <= len({r[1:] for r in prose})
+
+
 def test_language_without_labels_or_rows(spark):
     df = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {(r["lang_pred"], r["score"]) for r in identify_languages(df).collect()} == {("und", 0.0)}

@@ -153,3 +153,24 @@ def test_rows_that_share_an_id_are_candidates_each(spark):
     one = 256 * 256
     assert sorted(got) == [(0, 1, 1, 3 * one), (0, 2, 2, 2 * one), (0, 3, 50, one), (0, 4, 1, one // 2),
                            (50, 1, 1, 3 * one), (50, 2, 2, 2 * one), (50, 3, 3, 2 * one), (50, 4, 0, one)]
+
+
+def test_columns_named_like_the_inner_ones_and_very_long_texts(spark, model):
+    vocabulary, library = model
+    names = ["_key", "_text", "_rest", "_packed", "_pairs", "_whole", "_w", "word", "edges", "none", "c0", "ids"]
+    texts = ["a few words", None, "", "some thing " * 20_000 + "x" * 5_000]
+    rows = [(i, *[f"{n}{i}" for n in names], t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in ["doc_id", *names, "text"]).replace("doc_id string", "doc_id long"))
+    got = {r["doc_id"]: r.asDict() for r in encode(df, vocabulary).collect()}
+    assert len(got) == len(rows)
+    for i, t in enumerate(texts):
+        assert got[i]["text"] == t and got[i]["ids"] == (library.encode(t) if t else [])
+        assert all(got[i][n] == f"{n}{i}" for n in names if n != "ids")
+
+
+def test_a_character_without_a_piece_falls_back_inside_a_lattice(spark, model, monkeypatch):
+    vocabulary, library = model
+    monkeypatch.setattr(pieces, "COMMON", 0)
+    texts = ["mixed \U00010348and \U00010348", "\U00010348", "plain 一\U0001f9ff words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["text"]: r["ids"] for r in encode(df, vocabulary).collect()} == {t: library.encode(t) for t in texts}
