@@ -113,8 +113,8 @@ def lattice(words, vocabulary, *carried):
         reach[p[:HEAD]] = max(len(p), reach.get(p[:HEAD], 0))
     heads = F.broadcast(spark.createDataFrame(list(reach.items()) or [("", 0)], "head string, reach int"))
     whole = F.struct("word", *carried)
-    numbered = words.select(F.monotonically_increasing_id().alias("_w"), "word", whole.alias("_whole")).repartition(tasks_for(stored_rows(words)), "_w")
-    starts = (numbered.select("_w", "word", "_whole", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
+    numbered = words.select(F.monotonically_increasing_id().alias("_w"), whole.alias("_whole")).repartition(tasks_for(stored_rows(words)), "_w")
+    starts = (numbered.select("_w", F.col("_whole.word").alias("word"), "_whole", F.explode(F.sequence(F.lit(0), F.length("_whole.word") - 1)).alias("s"))
               .select("_w", F.when(F.col("s") == 0, F.col("_whole")).alias("_whole"), "s",
                       F.expr(f"substring(word, s + 1, {vocabulary.longest})").alias("rest"), F.expr(f"substring(word, s + 1, {HEAD})").alias("head"))
               .join(heads, "head", "left"))
@@ -310,17 +310,20 @@ def common_words(docs, vocabulary, id_col, text):
 
 
 def rare_words(keys, common, vocabulary, text):
-    """For every key the words that are not common, with their ids, as one array of pairs without repeats.
+    """For every key the words that are not common, with their ids, as one array without repeats: the number of ids in a
+    byte, the ids, the word in UTF-8.
 
-    Rows that share a key give each pair once. Words are counted and the distinct ones encoded, so a lattice carries no
-    keys; ``attach`` joins them back without gathering the keys of a frequent word.
+    Rows that share a key give each word once, from the reading task on. Words are counted and the distinct ones encoded,
+    so a lattice carries no keys; ``attach`` joins them back without gathering the keys of a frequent word.
     """
     pairs = materialise(keys.select("_key", F.explode(F.array_distinct(units_of(F.col(text)))).alias("word")).where(F.length("word") <= LONGEST)
-                        .join(F.broadcast(common.select("word")), "word", "left_anti").select("_key", "word").distinct())
+                        .join(F.broadcast(common.select("word")), "word", "left_anti").select("_key", "word"))
     counted = materialise(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("_n")))
     words = materialise(encode_words(counted, vocabulary, "_n"))
-    return (attach(pairs, words, ["word"], "_n", stored=True).select("_key", F.struct("word", "ids").alias("_pair"))
-            .groupBy("_key").agg(F.collect_list("_pair").alias("_pairs")))
+    count = F.unhex(F.lpad(F.hex(F.shiftright(F.octet_length("ids"), 2)), 2, "0"))
+    pair = F.concat(count, F.col("ids"), F.encode(F.col("word"), "utf-8"))
+    return (attach(pairs, words, ["word"], "_n", stored=True).select("_key", pair.alias("_pair"))
+            .groupBy("_key").agg(F.collect_set("_pair").alias("_pairs")))
 
 
 def small_batches(spark):
@@ -360,11 +363,11 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
             found = others.encode(word)
         return found
 
-    def whole(texts: pd.Series, words: pd.Series, codes: pd.Series) -> pd.DataFrame:
+    def whole(texts: pd.Series, pairs: pd.Series) -> pd.DataFrame:
         table, plain, out = known.value, [], []
-        for packed, w, c in zip(texts, words, codes, strict=True):
+        for packed, sent_words in zip(texts, pairs, strict=True):
             t = zlib.decompress(packed).decode() if packed is not None else None
-            own = dict(zip(w, c, strict=True)) if w is not None else {}
+            own = {p[1 + 4 * p[0]:].decode(): p[1:1 + 4 * p[0]] for p in sent_words} if sent_words is not None else {}
             units = UNIT.findall(MARK + t.replace(" ", MARK)) if t else []
             code = b"".join([code_of(u, table, own) for u in units])
             plain.append(t)
@@ -373,8 +376,7 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
 
     # the text is shuffled once, to meet its rare words, and packed for that
     joined = keys.withColumn("_packed", F.pandas_udf(_packed, "binary")(F.col("_text"))).drop("_text").join(sent, "_key", "left")
-    part = lambda name: F.transform("_pairs", lambda p: p[name])
-    both = F.pandas_udf(whole, "text string, ids array<int>")(F.col("_packed"), part("word"), part("ids"))
+    both = F.pandas_udf(whole, "text string, ids array<int>")(F.col("_packed"), F.col("_pairs"))
     joined = joined.withColumn("_whole", both)
     own = [F.col("_whole.text").alias(c) if c == text else F.col("_rest")[f"c{i}"].alias(c) for i, c in enumerate(columns)]
     return joined.select(*own, F.col("_whole.ids").alias("ids"), F.size("_whole.ids").cast("bigint").alias("n_tokens"))
