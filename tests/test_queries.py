@@ -46,3 +46,20 @@ def test_query_equals_sql(spark, name):
     assert sorted(columns) == names
     order = [columns.index(c) for c in names]
     assert got == sorted(tuple(cell(r[i]) for i in order) for r in result.fetchall())
+
+
+def test_csv_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from sparkaudit.checks import queries
+    from sparkaudit.session import checkpoint_dir
+    rows = [(i, i % 7, "O", 1000.0 + i, datetime(1997, 1, 1 + i % 28), "5-LOW") for i in range(90)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, "
+                                "o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    few = sorted(tuple(r) for r in queries.scan_listings(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(queries, "CSV_ROWS", 10)
+    before = set(Path(checkpoint_dir(spark).removeprefix("file:")).glob("csv/*"))
+    many = queries.scan_listings(spark, str(tmp_path))
+    made, = set(Path(checkpoint_dir(spark).removeprefix("file:")).glob("csv/*")) - before
+    assert len(list(made.glob("part-*"))) >= 7
+    assert sorted(tuple(r) for r in many.collect()) == few and len(few) == 90
