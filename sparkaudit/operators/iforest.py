@@ -42,7 +42,8 @@ def features(df, price_only=False, stats=None):
     names = PRICE_FEATURES if price_only else FEATURES
     rest = [c for c in df.columns if c not in names]
     kept = [f"_raw_{c}" for c in names]
-    staged = wide.select(*rest, *[raw[c].alias(f"_raw_{c}") for c in names])
+    # stored, as it is read for the medians and again for the rows
+    staged = materialise(wide.select(*rest, *[raw[c].alias(f"_raw_{c}") for c in names]))
     long = staged.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_raw_{c}").alias("x"))
                                              for c in names])).alias("r")).select("r.*")
     medians = {r["feature"]: r["median"] for r in group_quantiles(
@@ -160,8 +161,8 @@ def model_columns(price_only):
 def isolation_forest(df, seed=0, price_only=False, stats=None):
     """(rid, score) of every record."""
     columns = model_columns(price_only)
-    x = features(df, price_only, stats).select(RID, *columns)
-    size = min(SAMPLE, df.count())
+    x = materialise(features(df, price_only, stats).select(RID, *columns))
+    size = min(SAMPLE, stored_rows(x))
     return score(x, columns, fit(x, columns, seed), size, "score").select(RID, "score")
 
 
