@@ -11,7 +11,7 @@ from ..operators.dates import invalid_date, invalid_dates
 from ..operators.scale import attach
 from ..plans import audit, validation
 from ..plans import leakage as leakage_plan
-from ..schema import LISTING_KEY, MODEL_FEATURES, RID
+from ..schema import LISTING_KEY, MODEL_FEATURES, PROPERTY_KEY, RID
 from ..session import checkpoint_dir, materialise, stored_rows
 from ..sources import versions
 from ..sources.listings import cast_listings, listings_from_orders, normalise, read_raw_csv, with_row_ids
@@ -364,11 +364,13 @@ def group_mean(train, test, by):
 
 
 BASELINES = {"zip mean": "zip_code", "bed mean": "bed"}
+# What the baselines, splits and twins look at.
+BASELINE_COLUMNS = [RID, "y", "bed", *PROPERTY_KEY]
 
 
 def baseline_predictions(spark, folder, seeds, shares):
     frames = []
-    base = materialise(prepared(spark, folder).drop("pid"))
+    base = materialise(prepared(spark, folder).select(*BASELINE_COLUMNS))
     for seed in range(seeds):
         split = materialise(splits.with_twins(splits.random_split(base, seed)))
         for share, train in splits.training_rows(split, shares, seed).items():
@@ -405,7 +407,7 @@ def dose_response(spark, folder):
 
 def naive_baseline(spark, folder):
     frames = []
-    base = materialise(prepared(spark, folder))
+    base = materialise(prepared(spark, folder).select("pid", *BASELINE_COLUMNS))
     for seed in range(SEEDS):
         for name, split in (("random", splits.random_split(base, seed)), ("grouped", splits.grouped_split(base, seed))):
             for model, by in BASELINES.items():
