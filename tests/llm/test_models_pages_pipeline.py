@@ -250,6 +250,18 @@ def test_quotes_headings_and_stock_phrases_are_no_boilerplate(spark, many, shard
     assert len(got) == many and [r["page_id"] for r in got if r["text"] != want[r["page_id"]]] == []
 
 
+@pytest.mark.parametrize("shard", [256, 3])
+def test_blocks_of_main_parts_are_in_the_suffix_arrays(spark, shard, monkeypatch):
+    monkeypatch.setattr(main_text, "SHARD", shard)
+    notice = " ".join(f"term{i}" for i in range(50))
+    tokens, owner = main_text.stream(page_blocks(f"<div>top of it</div><article><p>{notice}</p></article>")[0])
+    assert len(tokens) == 53 and owner.tolist() == [0] * 3 + [1] * 50
+    rows = [(i, "http://h.org/", f"<article><p>{notice}</p><p>Own text {i}</p></article>") for i in range(12)]
+    rows += [(50, "http://h.org/", f"<div>{notice}</div><p>A page that has no article</p>")]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"{notice}\n\nOwn text {i}" for i in range(12)}, 50: "A page that has no article"}
+
+
 @pytest.mark.skipif(not FOLDER.exists(), reason="tables not present")
 def test_pages_keep_their_text_without_the_article_tags(spark):
     pages = spark.read.parquet(str(FOLDER / "pages.parquet"))
