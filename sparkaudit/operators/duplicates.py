@@ -47,6 +47,17 @@ def signature(df, overlap, attributes):
     return columns
 
 
+def may_share(df, key):
+    """Records with a complete key, less most of those that hold it alone: a superset of ``multi_key_records``.
+
+    Keys are counted by their 64-bit hash, so little is shuffled. A record whose hash meets another's by chance stays, which
+    changes nothing for rules that compare the keys themselves. Any key that holds these columns may be looked for in the result.
+    """
+    keyed = df.where(all_present(key)).withColumn("_h", F.xxhash64(*key))
+    groups = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return keep_matching(keyed, groups, ["_h"], "_n").drop("_h")
+
+
 def multi_key_records(df, key=LISTING_KEY):
     """Records whose complete key is held by more than one record."""
     keyed = df.where(all_present(key))
@@ -82,10 +93,11 @@ def duplicates(df, key=LISTING_KEY, compared=COMPARED, price="price", tolerance=
     p = F.col(price)
     position = (F.when(p.isNull(), F.lit(NO_PRICE)).when((p < 0) | (p == float("inf")), F.lit(NEVER_CLOSE))
                 .when(p == 0, F.lit(ZERO)).otherwise(F.floor(F.ln(p) / step).cast("bigint")))
-    keyed = df.where(all_present(key)).withColumn("_mask", mask_of(compared))
-    groups = (keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), masks_of_group(F.col("_mask")).alias("_masks"))
+    # masks are gathered by the hash of the key: a mask or record too many, from two keys of one hash, finds no partner below
+    keyed = df.where(all_present(key)).withColumn("_mask", mask_of(compared)).withColumn("_h", F.xxhash64(*key))
+    groups = (keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), masks_of_group(F.col("_mask")).alias("_masks"))
               .where("_n > 1"))
-    multi = materialise(attach(keyed, groups, key, "_n").withColumn("_step", position))
+    multi = materialise(attach(keyed, groups, ["_h"], "_n").drop("_h", "_n").withColumn("_step", position))
     sided = multi.withColumn("_partner", each_mask(F.col("_masks"), compared))
     overlap = F.col("_mask").bitwiseAND(F.col("_partner"))
     sided = sided.select(*df.columns, "_step", F.least("_mask", "_partner").alias("_lo"),

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkaudit.operators import legacy, robust
 from sparkaudit.operators.dates import invalid_dates
-from sparkaudit.operators.duplicates import duplicates, key_sizes, mark_duplicates, multi_key_records
+from sparkaudit.operators.duplicates import duplicates, key_sizes, mark_duplicates, may_share, multi_key_records
 from sparkaudit.operators.robust import price_robust_z
-from sparkaudit.schema import COMPARED, LISTING_COLUMNS, LISTING_KEY, listing_struct
+from sparkaudit.schema import COMPARED, LISTING_COLUMNS, LISTING_KEY, PROPERTY_KEY, listing_struct
 from sparkaudit.session import materialise
 
 # the sentinels and both ends of the range, other forms of a date, and texts
@@ -203,3 +203,22 @@ def test_statistics_of_small_groups_need_no_counts_of_values(spark, monkeypatch)
     values = np.array([r[3] for r in rows if r[3] is not None])
     med, mad = next((r[4], r[5]) for r in got if r[:3] == (robust.FALLBACK, "f", "x"))
     assert (med, mad) == (np.median(values), np.median(np.abs(values - np.median(values))))
+
+
+def test_keys_are_looked_for_by_their_hash(spark, table, small_limits):
+    """Both zeros are one key, and records with a part of the key missing have none."""
+    df = table({"street": 0.0}, {"street": -0.0}, {"street": 5.0}, {"street": None}, {"street": None}, {"zip_code": 1.0}, {"zip_code": 1.0, "bed": 9.0})
+    assert rids(may_share(df, PROPERTY_KEY)) == [0, 1, 5, 6]
+    assert may_share(df, PROPERTY_KEY).columns == df.columns
+    assert rids(duplicates(df)) == [0, 1]
+
+
+def test_rules_on_keys_look_only_at_records_that_may_share_an_address(spark, table, monkeypatch):
+    from sparkaudit.plans import validation
+    seen = []
+    for name, (key, rule) in list(validation.KEY_RULES.items()):
+        monkeypatch.setitem(validation.KEY_RULES, name, (key, lambda df, rule=rule: (seen.append(df.count()), rule(df))[1]))
+    df = table({}, {"prev_sold_date": None}, *[{"street": float(i)} for i in range(20)])
+    flagged, _ = validation.run_detectors(df, forests=False)
+    assert seen == [2, 2, 2]
+    assert rids(flagged["corrected: listing duplicates"]) == [0, 1]
