@@ -222,3 +222,12 @@ def test_rules_on_keys_look_only_at_records_that_may_share_an_address(spark, tab
     flagged, _ = validation.run_detectors(df, forests=False)
     assert seen == [2, 2, 2]
     assert rids(flagged["corrected: listing duplicates"]) == [0, 1]
+
+
+def test_values_of_large_groups_are_counted_once_per_measure(spark, table, small_limits, monkeypatch):
+    from sparkaudit.operators import robust
+    monkeypatch.setattr(robust, "measure_counts", None)     # it would put out a row per level and measure again
+    df = table(*[{"price": float(100 + i), "zip_code": float(i % 2)} for i in range(12)])
+    got = {(r["level"], r["key"], r["measure"]): (r["n"], r["mad"] > 0) for r in robust.price_stats(df).collect()}
+    assert got == {**{("group", z, m): (6, True) for z in ("0.0", "1.0") for m in ("per_size", "price")},
+                   **{("fallback", "Nevada", m): (12, True) for m in ("per_size", "price")}}
