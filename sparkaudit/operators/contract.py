@@ -44,7 +44,10 @@ def structure_report(df):
     present = [c for c in LISTING_COLUMNS if c in df.columns]
     constants = [(c, "column_in_dataframe", 1) for c in LISTING_COLUMNS if c not in df.columns]
     constants += [(c, "column_in_schema", 1) for c in df.columns if c not in (*LISTING_COLUMNS, RID)]
-    checks = coercion_checks(present) + (category_checks() if "status" in present else [])
+    # a value of the declared type stays what it is, so only the others are parsed
+    kinds = dict(df.dtypes)
+    checks = (coercion_checks([c for c in present if kinds[c] != LISTING_TYPES[c]])
+              + (category_checks() if "status" in present else []))
     report = df.sparkSession.createDataFrame(constants, "column string, check string, violations bigint")
     if checks:
         counted = listed_checks(df.agg(*counted_checks(checks)), checks)
@@ -52,6 +55,12 @@ def structure_report(df):
     return _ordered(report)
 
 
+def is_typed(df):
+    """Whether a table has the listing columns, each with its declared type."""
+    kinds = dict(df.dtypes)
+    return sorted(c for c in df.columns if c != RID) == sorted(LISTING_COLUMNS) and all(kinds[c] == t for c, t in LISTING_TYPES.items())
+
+
 def enforce_structure(df):
     """The table with its declared types; raises ``ContractError`` with every violation counted."""
     violations = structure_report(df).collect()     # at most a few rows per column of the schema

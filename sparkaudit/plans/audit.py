@@ -5,14 +5,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_of
-from ..operators.contract import counted_checks, enforce_structure, expectations, listed_checks
+from ..operators.contract import counted_checks, enforce_structure, expectations, is_typed, listed_checks
 from ..operators.dates import invalid_date
-from ..operators.duplicates import duplicate_ids, mark_duplicates
-from ..operators.properties import records_sharing_address
+from ..operators.duplicates import duplicates, mark_duplicates, may_share
+from ..operators.properties import records_sharing_address, with_property
 from ..operators.robust import is_price_outlier, price_robust_z, price_stats
-from ..operators.scale import keep_matching
 from ..schema import RID
 from ..session import materialise, scratch
+from ..sources.listings import cast_listings
 
 # Names and meanings of the flags and the columns of the report.
 FLAGS = {
@@ -46,18 +46,24 @@ def audit_flags(df):
     return mark_duplicates(with_rule_flags(df)).select(RID, *FLAGS, "price_z")
 
 
-def flagged_records(df):
+def sharing_records(df):
+    """Records that may share their property with another one, all columns: a superset of those that do, and of all duplicates."""
+    return may_share(with_property(df), ["pid"]).drop("pid")
+
+
+def flagged_records(df, sharing=None):
     """Records with any flag, all columns, the flags and ``price_z``.
 
-    Duplicates are found among the columns they are compared by; their other flags are evaluated for them alone. The
-    few flagged rows of both branches are brought together; the table itself is not shuffled by record id.
+    Duplicates are looked for in ``sharing``, the stored ``sharing_records`` where the caller has them. They bring their
+    columns along and are stored, so their other flags are evaluated for them alone. The few flagged rows of both branches are
+    brought together; the table itself is neither shuffled by record id nor joined to the duplicates.
     """
     stats = price_stats(df)
     ruled = with_rule_flags(df, stats)
     rules = [f for f in FLAGS if f != "listing_duplicate"]
     hits = ruled.where(any_of([F.col(f) for f in rules])).withColumn("listing_duplicate", F.lit(False))
-    ids = materialise(duplicate_ids(df).withColumn("_one", F.lit(1)))
-    pairs = with_rule_flags(keep_matching(df, ids, [RID], "_one", stored=True), stats).withColumn("listing_duplicate", F.lit(True))
+    found = materialise(duplicates(df if sharing is None else sharing).where(F.col(RID).isNotNull()))
+    pairs = with_rule_flags(found, stats).withColumn("listing_duplicate", F.lit(True))
     rest = [c for c in ruled.columns if c not in (RID, *FLAGS)]
     both = hits.unionByName(pairs).groupBy(RID).agg(
         F.any_value(F.struct(*rest)).alias("_r"), *[F.bool_or(f).alias(f) for f in FLAGS])
@@ -81,10 +87,11 @@ def flag_counts(flagged):
     return flagged.agg(F.count(F.lit(1)).alias("records_flagged"), *[F.count_if(f).alias(f) for f in FLAGS])
 
 
-def summary_rows(df, flagged):
+def summary_rows(df, flagged, sharing):
     """The summary as (part, item, detail, value) rows: counts per flag, expectation and context.
 
-    Records, expectations and missing dates are counted per status in one pass over the table.
+    Records, expectations and missing dates are counted per status in one pass over the table, shared addresses among
+    ``sharing``, the ``sharing_records``.
     """
     def rows(source, part, item, detail, value):
         return source.select(F.lit(part).alias("part"), item.alias("item"), detail.alias("detail"),
@@ -103,23 +110,28 @@ def summary_rows(df, flagged):
             .unionByName(per_flag.select(part.alias("part"), "item", none.alias("detail"),
                                          F.col("value").cast("double").alias("value")))
             .unionByName(rows(violated, "expectations", F.col("column"), F.col("check"), F.col("violations")))
-            .unionByName(rows(records_sharing_address(df), "context", F.lit("records_sharing_an_address"), none,
+            .unionByName(rows(records_sharing_address(sharing), "context", F.lit("records_sharing_an_address"), none,
                               F.col("records")))
             .unionByName(rows(profile, "missing_prev_sold_date_by_status", F.col("status"), none,
                               F.bround(F.col("missing") / F.col("records"), 4))))
 
 
 def audit(raw, stored=False) -> Audit:
-    """Raises ``ContractError`` before anything else runs when the table does not have the listings structure.
+    """Raises ``ContractError`` before any record is judged when the table does not have the listings structure.
 
-    ``stored`` says that ``raw`` is a columnar table; other input, which every pass would parse again, is stored. Nothing but
-    the flagged records and the summary is left in the checkpoint folder.
+    ``stored`` says that ``raw`` is a columnar table; other input, which every pass would parse or derive again, is stored,
+    before the checks when it has its types. Nothing but the flagged records and the summary is left in the checkpoint folder.
     """
-    df = enforce_structure(raw)
-    with scratch(df.sparkSession):
-        df = df if stored else materialise(df)
-        flagged = materialise(flagged_records(df), kept=True)
-        summary = materialise(summary_rows(df, flagged), kept=True)
+    with scratch(raw.sparkSession):
+        if is_typed(raw) and not stored:
+            df = materialise(cast_listings(raw))
+            enforce_structure(df)
+        else:
+            df = enforce_structure(raw)
+            df = df if stored else materialise(df)
+        sharing = materialise(sharing_records(df))
+        flagged = materialise(flagged_records(df, sharing), kept=True)
+        summary = materialise(summary_rows(df, flagged, sharing), kept=True)
     return Audit(audit_report(flagged), summary)
 
 
