@@ -13,6 +13,7 @@ grows with the number of documents that share a word or a text. The split change
 import heapq
 import re
 import zlib
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -287,6 +288,27 @@ class LongWords:
         return np.array(ids, dtype=">i4").tobytes()
 
 
+@contextmanager
+def shuffles_deleted(spark):
+    """Inside the block Spark deletes the shuffle files of a query when it ends; what it wrote stays."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
+def stored(df):
+    """``df`` stored; nothing else of its query stays on disk."""
+    with shuffles_deleted(df.sparkSession):
+        return materialise(df)
+
+
 def tasks_for(words):
     """How many partitions hold ``words`` lattices. Given as a number, so Spark does not merge them by the size of the words."""
     return int(min(max(1, -(-words // TASK_WORDS)), 100_000))
@@ -298,7 +320,7 @@ def common_words(docs, vocabulary, id_col, text):
     share = min(1.0, FIRST_LOOK / max(rows, 1))
     seen = (docs.where(hash_share(F.col(id_col), F.col(text)) < F.lit(share)).select(F.explode(units_of(F.col(text))).alias("word"))
             .where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    seen = materialise(seen)
+    seen = stored(seen)
     least, total = None, 0
     for row in seen.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
         if total + row["words"] > COMMON:
@@ -306,22 +328,31 @@ def common_words(docs, vocabulary, id_col, text):
         total += row["words"]
         least = row["n"]
     chosen = seen.where(F.col("n") >= F.lit(least)) if least is not None else seen.limit(0)
-    return materialise(encode_words(chosen.select("word"), vocabulary))
+    return stored(encode_words(chosen.select("word"), vocabulary))
+
+
+def id_width(vocabulary):
+    """Bytes that hold any id of the vocabulary on the way to the documents."""
+    return 2 if max([vocabulary.unknown, *vocabulary.byte_ids, *(i for _, i, _ in vocabulary.pieces)]) < 1 << 16 else 4
 
 
 def rare_words(keys, common, vocabulary, text):
     """For every key the words that are not common, with their ids, as one array without repeats: the number of ids in a
-    byte, the ids, the word in UTF-8.
+    byte, the ids in ``id_width`` bytes each, the word in UTF-8 with spaces for its marks.
 
     Rows that share a key give each word once, from the reading task on. Words are counted and the distinct ones encoded,
     so a lattice carries no keys; ``attach`` joins them back without gathering the keys of a frequent word.
     """
-    pairs = materialise(keys.select("_key", F.explode(F.array_distinct(units_of(F.col(text)))).alias("word")).where(F.length("word") <= LONGEST)
-                        .join(F.broadcast(common.select("word")), "word", "left_anti").select("_key", "word"))
-    counted = materialise(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("_n")))
-    words = materialise(encode_words(counted, vocabulary, "_n"))
-    count = F.unhex(F.lpad(F.hex(F.shiftright(F.octet_length("ids"), 2)), 2, "0"))
-    pair = F.concat(count, F.col("ids"), F.encode(F.col("word"), "utf-8"))
+    width = id_width(vocabulary)
+    pairs = stored(keys.select("_key", F.explode(F.array_distinct(units_of(F.col(text)))).alias("word")).where(F.length("word") <= LONGEST)
+                   .join(F.broadcast(common.select("word")), "word", "left_anti").select("_key", "word"))
+    counted = stored(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("_n")))
+    words = encode_words(counted, vocabulary, "_n")
+    if width == 2:
+        words = words.withColumn("ids", F.unhex(F.regexp_replace(F.hex("ids"), "....(....)", "$1")))
+    words = stored(words)
+    count = F.unhex(F.lpad(F.hex((F.octet_length("ids") / width).cast("int")), 2, "0"))
+    pair = F.concat(count, F.col("ids"), F.encode(F.replace(F.col("word"), F.lit(MARK), F.lit(" ")), "utf-8"))
     return (attach(pairs, words, ["word"], "_n", stored=True).select("_key", pair.alias("_pair"))
             .groupBy("_key").agg(F.collect_set("_pair").alias("_pairs")))
 
@@ -347,7 +378,7 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
     columns = [c for c in docs.columns if c not in ("ids", "n_tokens")]
     common = common_words(docs, vocabulary, id_col, text)
     known = docs.sparkSession.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in common.toLocalIterator()})
-    others = LongWords(vocabulary)
+    others, width = LongWords(vocabulary), id_width(vocabulary)
     # other columns travel as one, by position, so any name may occur
     rest = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns) if c != text])
     # documents with the same key share their rare words, which changes no encoding; copies are dealt over some keys
@@ -367,7 +398,8 @@ def encode(docs, vocabulary, id_col="doc_id", text="text"):
         table, plain, out = known.value, [], []
         for packed, sent_words in zip(texts, pairs, strict=True):
             t = zlib.decompress(packed).decode() if packed is not None else None
-            own = {p[1 + 4 * p[0]:].decode(): p[1:1 + 4 * p[0]] for p in sent_words} if sent_words is not None else {}
+            own = {p[1 + width * p[0]:].decode().replace(" ", MARK): np.frombuffer(p, f">u{width}", p[0], 1).astype(">i4").tobytes()
+                   for p in sent_words} if sent_words is not None else {}
             units = UNIT.findall(MARK + t.replace(" ", MARK)) if t else []
             code = b"".join([code_of(u, table, own) for u in units])
             plain.append(t)

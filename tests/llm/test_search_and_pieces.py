@@ -174,3 +174,25 @@ def test_a_character_without_a_piece_falls_back_inside_a_lattice(spark, model, m
     texts = ["mixed \U00010348and \U00010348", "\U00010348", "plain 一\U0001f9ff words"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["text"]: r["ids"] for r in encode(df, vocabulary).collect()} == {t: library.encode(t) for t in texts}
+
+
+def test_stored_words_leave_no_shuffle_files(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    held = tracker.shuffleStatuses().size()
+    table = pieces.stored(spark.createDataFrame([(f"w{i % 7}",) for i in range(50)], "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    assert sorted(r["n"] for r in table.collect()) == [7] * 6 + [8] and pieces.stored_rows(table) == 7
+    assert spark.conf.get(setting, None) == before
+    assert tracker.shuffleStatuses().size() <= held
+
+
+@pytest.mark.parametrize("shift,width", [(0, 2), (1 << 16, 4)])
+def test_ids_of_any_width_reach_the_documents(spark, model, shift, width, monkeypatch):
+    vocabulary, library = model
+    monkeypatch.setattr(pieces, "COMMON", 0)
+    moved = Vocabulary([(p, i + shift, s) for p, i, s in vocabulary.pieces], [i + shift for i in vocabulary.byte_ids], vocabulary.unknown)
+    assert pieces.id_width(moved) == width
+    text = f"a {MARK} mark  and \U00010348 words"
+    row = encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), moved).first()
+    assert row["ids"] == [i + shift for i in library.encode(text)]
