@@ -328,3 +328,19 @@ def test_site_beliefs_equal_the_posterior_computed_by_hand(spark):
         assert r["p_site"] == pytest.approx(own, abs=1e-9) and r["score"] == pytest.approx(score, abs=1e-9)
         assert r["keep"] == (r["score"] >= 0.5)
     assert len(rows) == 240
+
+
+@pytest.mark.parametrize("shard", [256, 3])
+def test_main_parts_of_every_host_are_in_the_suffix_arrays(spark, shard, monkeypatch):
+    """Also on a host where no page is left open, and in every array; a copy of a page counts once."""
+    monkeypatch.setattr(main_text, "SHARD", shard)
+    notice = " ".join(f"term{i}" for i in range(40))
+    rows = [(i, f"http://h{i % 2}.org/", f"<article><p>{notice}</p><p>Own text of page {i}</p></article>") for i in range(24)]
+    rows += [(99, "http://h2.org/", f"<article>{notice}</article>")] * 9
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    source = df.select(F.regexp_extract("url", main_text.URL_HOST, 1).alias("_host"), F.xxhash64("html").alias("_page"), F.col("html").alias("_html"))
+    streams = main_text.host_streams(source)
+    assert {(r["_host"], r["_of"], len(main_text.stream_of(r["_words"])[0])) for r in streams.collect()} == {("h0.org", 12, 45), ("h1.org", 12, 45), ("h2.org", 1, 40)}
+    found = main_text.boilerplate(streams).collect()
+    # 13 substrings of the notice and the words after it on each of two hosts, on all of their pages
+    assert len(found) == 26 == len({r["_hash"] for r in found}) and {r["_pages"] for r in found} == {12}
