@@ -1,6 +1,7 @@
 """Plantings examined by what they touch against running every detector over the whole planted table."""
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from sparkaudit.operators.plant import Spec, plant
@@ -91,3 +92,20 @@ def test_an_audit_and_a_validation_leave_their_results_alone(spark, listings):
     assert tables() == before + 2 and result.report.count() > 0 and result.summary.count() > 5
     metrics, recalls = validation.validate(listings, SPEC, n_seeds=2, forests=False)
     assert tables() == before + 4 and metrics.count() == 14 and recalls.count() > 0
+
+
+def test_path_lengths_equal_a_walk_down_every_tree():
+    from sparkaudit.operators import iforest
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=300), rng.integers(0, 5, 300), np.ones(300)]).astype(float)
+    grown = [sorted(iforest.build_tree(t, x[rng.choice(300, 64, replace=False)], 1), key=lambda n: n[1]) for t in range(5)]
+    grown.append(iforest.build_tree(9, x[:1], 1))      # a root that is a leaf
+    x[7, 0] = np.nan
+    want = np.zeros(300)
+    for i in range(300):
+        for tree in grown:
+            node = tree[0]
+            while node[2] >= 0:
+                node = tree[node[4] if x[i, node[2]] <= node[3] else node[5]]
+            want[i] += node[6]
+    assert (iforest.path_lengths(x, [tuple(np.array(c) for c in list(zip(*tree, strict=True))[2:]) for tree in grown]) == want).all()
